@@ -1,0 +1,116 @@
+"""Bronze, Silver and Gold from fused raw postings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skillstrata.dictionaries import Dictionaries
+from skillstrata.functions.text import is_filled, squeeze
+from skillstrata.operators import clean, gold
+from skillstrata.sources.lake import BRONZE, GOLD, SILVER, read_layer, write_layer
+
+RAW_COLUMNS = (
+    "record_id",
+    "source",
+    "raw_title",
+    "raw_city",
+    "company",
+    "major",
+    "salary_text",
+    "req_text",
+    "description",
+    "posted_on",
+)
+SILVER_COLUMNS = (
+    "record_id",
+    "source",
+    "title",
+    "role",
+    "city",
+    "company",
+    "major",
+    "salary_min",
+    "salary_max",
+    "education",
+    "education_rank",
+    "exp_min_years",
+    "exp_max_years",
+    "skills",
+    "has_description",
+    "posted_on",
+    "posted_month",
+    "fingerprint",
+)
+TEXT_COLUMNS = ("record_id", "raw_title", "description", "salary_text", "req_text")
+
+
+def build_bronze(fused: DataFrame, batch_id: str) -> DataFrame:
+    """Fused raw postings with batch, source file and fingerprint."""
+    return clean.with_fingerprint(clean.with_lineage(fused, batch_id))
+
+
+def unique_postings(bronze: DataFrame, dicts: Dictionaries) -> DataFrame:
+    """Valid postings, one for each fingerprint: what both Silver tables are made of."""
+    return clean.dedup(clean.valid_rows(bronze), dicts.source_priority)
+
+
+def refine(postings: DataFrame, dicts: Dictionaries) -> DataFrame:
+    """Standard role, city, salary, requirements and skills; works on a stream too."""
+    df = clean.standardize_role(postings, dicts.role_rules, dicts.other_role)
+    df = clean.standardize_city(df, dicts.city_aliases, dicts.city_suffix)
+    df = clean.parse_salary(df, dicts.days_per_month)
+    df = clean.extract_education(df, dicts.education_levels)
+    df = clean.extract_experience(df)
+    df = clean.extract_skills(df, dicts.skills)
+    df = df.withColumns(
+        {
+            "title": squeeze(F.col("raw_title")),
+            "company": squeeze(F.col("company")),
+            "major": squeeze(F.col("major")),
+            "has_description": is_filled(F.col("description")),
+            "posted_month": F.year("posted_on") * 100 + F.month("posted_on"),
+        }
+    )
+    return df.select(*SILVER_COLUMNS)
+
+
+def build_silver(bronze: DataFrame, dicts: Dictionaries) -> DataFrame:
+    """Wide cleaned postings."""
+    return refine(unique_postings(bronze, dicts), dicts)
+
+
+def build_silver_text(bronze: DataFrame, dicts: Dictionaries) -> DataFrame:
+    """Text detail of the postings in Silver."""
+    return unique_postings(bronze, dicts).select(*TEXT_COLUMNS)
+
+
+def write_bronze(spark: SparkSession, fused: DataFrame, root: str, batch_id: str) -> DataFrame:
+    write_layer(build_bronze(fused, batch_id), root, BRONZE, "posting", ["source"])
+    return read_layer(spark, root, BRONZE, "posting")
+
+
+def write_silver(spark: SparkSession, root: str, dicts: Dictionaries) -> DataFrame:
+    """Writes Silver. The dedup is the one wide shuffle, so its result is kept and read twice."""
+    bronze = read_layer(spark, root, BRONZE, "posting")
+    write_layer(unique_postings(bronze, dicts), root, SILVER, "posting_unique")
+    unique = read_layer(spark, root, SILVER, "posting_unique")
+    write_layer(refine(unique, dicts), root, SILVER, "posting", ["posted_month"], ["record_id"])
+    write_layer(unique.select(*TEXT_COLUMNS), root, SILVER, "posting_text", sort_by=["record_id"])
+    return read_layer(spark, root, SILVER, "posting")
+
+
+def write_gold(spark: SparkSession, root: str) -> None:
+    p = read_layer(spark, root, SILVER, "posting")
+    write_layer(gold.gold_job_skill(p), root, GOLD, "job_skill")
+    js = read_layer(spark, root, GOLD, "job_skill")
+    write_layer(gold.gold_skill_freq(js, p), root, GOLD, "skill_freq")
+    write_layer(gold.gold_city_salary(p), root, GOLD, "city_salary")
+    write_layer(gold.gold_role_demand(p), root, GOLD, "role_demand")
+
+
+def build_lake(spark: SparkSession, fused: DataFrame, dicts: Dictionaries, root: str, batch_id: str) -> None:
+    """The whole run: each layer reads what the one below has written."""
+    write_bronze(spark, fused, root, batch_id)
+    write_silver(spark, root, dicts)
+    write_gold(spark, root)
