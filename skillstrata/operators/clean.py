@@ -87,7 +87,8 @@ def extract_education(df: DataFrame, levels: Sequence[EducationLevel] = EDUCATIO
     """Adds ``education`` and ``education_rank``, NULL where no level is named."""
 
     def of_level(values: list) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_level"))
+        # Without the guard, ANSI mode takes a NULL position for the last element.
+        return F.when(F.col("_level").isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_level")))
 
     return (
         df.withColumn("_wanted", text.normalize(F.col("req_text")))
