@@ -65,7 +65,7 @@ def posting_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     described = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_join(F.array_sort(F.collect_set("p_name")), LIST_SEPARATOR).alias("description")
+        F.array_join(F.sort_array(F.collect_set("p_name")), LIST_SEPARATOR).alias("description")
     )
     customers = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"

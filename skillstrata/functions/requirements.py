@@ -42,5 +42,6 @@ def education_level(clean: Column, levels: Sequence[EducationLevel] = EDUCATION_
 
 
 def years(clean: Column, pattern: str, group: int = 1) -> Column:
-    """A number of years out of normalised text."""
-    return F.nullif(F.regexp_extract(clean, pattern, group), F.lit("")).try_cast("int")
+    """A number of years out of normalised text; the pattern is tried only where years are named."""
+    found = F.nullif(F.regexp_extract(clean, pattern, group), F.lit("")).try_cast("int")
+    return F.when(clean.contains("年"), found)

@@ -44,4 +44,5 @@ def monthly(fields: Column, which: int, days_per_month: float = DAYS_PER_MONTH)
 
 def months_paid(fields: Column) -> Column:
     """Months paid in a year, twelve unless stated."""
-    return F.coalesce(fields[MONTHS].try_cast("int"), F.lit(MONTHS_PAID))
+    # Blank is made NULL first: try_cast meets a bad number with a costly exception.
+    return F.coalesce(F.nullif(fields[MONTHS], F.lit("")).try_cast("int"), F.lit(MONTHS_PAID))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row
@@ -26,7 +27,10 @@ INLINE_LIMIT = 5_000
 SKILL_SCHEMA = "alias string, skill string, mode string"
 
 # A word: Latin letters and digits, with + and # anywhere and . only inside.
-WORD_PATTERN = r"[\p{IsLatin}0-9+#]+(?:\.[\p{IsLatin}0-9+#]+)*"
+LETTER = r"[\p{IsLatin}0-9+#]"
+WORD_PATTERN = rf"{LETTER}+(?:\.{LETTER}+)*"
+WORD_START = rf"(?<!{LETTER})(?<!{LETTER}\.)"
+WORD_END = rf"(?!\.?{LETTER})"
 
 
 class SkillAlias(NamedTuple):
@@ -54,27 +58,45 @@ def _to_skill(hits: Column, aliases: Sequence[SkillAlias]) -> Column:
     if not renamed:
         return hits
     names = F.create_map(*[F.lit(x) for pair in renamed for x in pair])
-    return F.transform(hits, lambda hit: F.coalesce(F.try_element_at(names, hit), hit))
+    return F.transform(F.array_distinct(hits), lambda hit: F.coalesce(F.try_element_at(names, hit), hit))
+
+
+def longest_match_pattern(names: Iterable[str]) -> str:
+    """Regular expression that matches the longest of the names at a place.
+
+    Names with a common beginning share it, so the cost at a place goes with the letters that
+    can come next and not with the size of the dictionary.
+    """
+
+    def branch(endings: Sequence[str]) -> str:
+        options = []
+        for letter, group in groupby((e for e in endings if e), key=lambda ending: ending[0]):
+            options.append(re.escape(letter) + branch([e[1:] for e in group]))
+        if not options:
+            return ""
+        longer = options[0] if len(options) == 1 and endings[0] else f"(?:{'|'.join(options)})"
+        return longer if endings[0] else f"{longer}?"
+
+    return branch(sorted(set(names)))
 
 
 def phrases_in(clean: Column, aliases: Sequence[SkillAlias]) -> Column:
     """Phrase skills of normalised text, from one regular-expression pass over it."""
-    longest_first = sorted({a.alias for a in aliases}, key=lambda alias: (-len(alias), alias))
-    pattern = "|".join(re.escape(alias) for alias in longest_first)
+    pattern = longest_match_pattern(a.alias for a in aliases)
     return _to_skill(F.regexp_extract_all(clean, F.lit(f"(?:{pattern})"), F.lit(0)), aliases)
 
 
+def tokens_in(clean: Column, aliases: Sequence[SkillAlias]) -> Column:
+    """Token skills of normalised text, from one pass that looks at the edges of words."""
+    pattern = longest_match_pattern(a.alias for a in aliases)
+    return _to_skill(F.regexp_extract_all(clean, F.lit(f"{WORD_START}(?:{pattern}){WORD_END}"), F.lit(0)), aliases)
+
+
 def words_in(clean: Column) -> Column:
     """Distinct words of normalised text."""
     return F.array_distinct(F.regexp_extract_all(clean, F.lit(WORD_PATTERN), F.lit(0)))
 
 
-def tokens_in(clean: Column, aliases: Sequence[SkillAlias]) -> Column:
-    """Token skills of normalised text."""
-    known = F.array(*[F.lit(alias) for alias in sorted({a.alias for a in aliases})])
-    return _to_skill(F.array_intersect(words_in(clean), known), aliases)
-
-
 def skills_in(text: Column, aliases: Sequence[SkillAlias]) -> Column:
     """Sorted distinct skills of a text; empty where there are none or the text is NULL."""
     clean = normalize(text)
@@ -84,7 +106,7 @@ def skills_in(text: Column, aliases: Sequence[SkillAlias]) -> Column:
         for mode, matcher in ((PHRASE, phrases_in), (TOKEN, tokens_in))
         if by_mode[mode]
     ]
-    return F.array_sort(F.array_distinct(F.concat(*found))) if found else _no_skills()
+    return F.sort_array(F.array_distinct(F.concat(*found))) if found else _no_skills()
 
 
 def match_by_join(df: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
@@ -124,7 +146,7 @@ def match_by_join(df: DataFrame, dictionary: DataFrame, key: str, text: str) ->
         hits = (
             windows.join(phrases, "alias")
             .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("minus_size"), "skill"))).alias("_hits"))
+            .agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("size")).alias("minus_size"), "skill"))).alias("_hits"))
         )
         start = F.struct(F.lit(0).alias("free"), _no_skills().alias("skills"))
 
@@ -135,4 +157,4 @@ def match_by_join(df: DataFrame, dictionary: DataFrame, key: str, text: str) ->
 
         by_phrase = hits.select(key, F.explode(F.aggregate("_hits", start, take)["skills"]).alias("skill"))
         found = by_phrase.unionByName(by_token)
-    return found.groupBy(key).agg(F.array_sort(F.collect_set("skill")).alias("skills"))
+    return found.groupBy(key).agg(F.sort_array(F.collect_set("skill")).alias("skills"))
