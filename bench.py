@@ -56,6 +56,7 @@ def main() -> None:
         "build_bronze": timed(lambda: pipeline.write_bronze(spark, raw, lake.root, postings.BATCH_ID)),
         "build_silver": timed(lambda: pipeline.write_silver(spark, lake.root, lake.dicts)),
         "build_gold": timed(lambda: pipeline.write_gold(spark, lake.root)),
+        "build_graph": timed(lambda: lake.graph),
     }
     p, js, bronze = lake.p, lake.js, lake.bronze
     headline: dict[str, Callable[[], DataFrame]] = {
@@ -67,12 +68,12 @@ def main() -> None:
         "role_demand": lambda: gold.gold_role_demand(p),
         "postings_with_skill": lambda: relate.postings_with_skill(p, js),
         "having_all_skills": lambda: relate.having_all_skills(p, js, catalog.WANTED_SKILLS[:2]),
-        "edge_counts": lambda: graph.edge_counts(graph.build_edges(p, js)),
+        "edge_counts": lambda: graph.edge_counts(lake.graph[1]),
         "role_skills": lambda: serve.role_skills(p, top_n=20),
         "role_city_skills": lambda: serve.role_city_skills(p, top_n=5),
         "job_postings": lambda: serve.job_postings(p, catalog.ROLE, None, catalog.SKILL, None),
         "role_subgraph": lambda: serve.role_subgraph(p, catalog.ROLE),
-        "search": lambda: serve.search(graph.build_nodes(p, js), catalog.SEARCH_TEXT),
+        "search": lambda: serve.search(lake.graph[0], catalog.SEARCH_TEXT),
         "role_trend": lambda: trends.role_trend(p),
         "skill_trend": lambda: trends.skill_trend(p),
         "skill_cooccurrence": lambda: analytics.skill_cooccurrence(p),

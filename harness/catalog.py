@@ -150,10 +150,6 @@ def jdbc_roundtrip(lk: Lake) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _graph(lk: Lake) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    return graph.build_nodes(lk.p, lk.js), graph.build_edges(lk.p, lk.js)
-
-
 def _graph_rows(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> DataFrame:
     parts = [
         t.select(F.lit(kind).alias("kind"), F.col("id").alias("src_id"), F.col("name").alias("dst_id"))
@@ -164,7 +160,7 @@ def _graph_rows(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> Dat
 
 
 def graph_export_roundtrip(lk: Lake) -> DataFrame:
-    nodes, edges = _graph(lk)
+    nodes, edges = lk.graph
     named = {graph.NODE_TABLES[k]: t for k, t in nodes.items()} | {graph.EDGE_TABLES[k]: t for k, t in edges.items()}
     paths = graph_files.export_graph(named, scratch(lk.spark, "graph"))
     back = graph_files.read_graph(lk.spark, paths, named)
@@ -177,7 +173,7 @@ def graph_merge(lk: Lake) -> DataFrame:
     """The same graph loaded twice into one that holds the first platform's part."""
     first = lk.p.filter(F.col("source") == SOURCES[0])
     old_nodes, old_edges = graph.build_nodes(first, gold.gold_job_skill(first)), graph.build_edges(first, gold.gold_job_skill(first))
-    nodes, edges = _graph(lk)
+    nodes, edges = lk.graph
     for _ in range(2):
         old_nodes, old_edges = graph.merge_graph(old_nodes, nodes), graph.merge_graph(old_edges, edges)
     return _graph_rows(old_nodes, old_edges)
@@ -227,15 +223,18 @@ def gold_refresh(lk: Lake) -> DataFrame:
     """Gold of two platforms brought up to date by a batch with the third's postings."""
     root = scratch(lk.spark, "refresh")
     late = F.col("source") == SOURCES[2]
-    refresh.write_keyed(gold.gold_city_salary(lk.p.filter(~late)), root, "city_salary", "city")
-    refresh.write_keyed(gold.gold_job_skill(lk.p.filter(~late)), root, "job_skill", "record_id")
-    batch = lk.p.filter(late)
-    salaries = refresh.refresh_gold(lk.spark, root, "city_salary", "city", batch, lk.p, gold.gold_city_salary)
-    relation = refresh.refresh_gold(lk.spark, root, "job_skill", "record_id", batch, lk.p, gold.gold_job_skill)
-    asked = relation.groupBy("skill").agg(F.count("*").alias("n"))
-    return salaries.select(F.lit("city_salary").alias("table_name"), F.col("city").alias("name"), "n", "mean_mid").unionByName(
-        asked.select(F.lit("job_skill").alias("table_name"), F.col("skill").alias("name"), "n", F.lit(None).cast("double").alias("mean_mid"))
-    )
+    parts = {"city_salary": refresh.salary_part, "job_skill": refresh.job_skill_part, "role_demand": refresh.role_part}
+    fresh = {}
+    for name, part in parts.items():
+        refresh.write_parts(lk.p.filter(~late), root, name, part)
+        fresh[name] = refresh.refresh_gold(lk.spark, root, name, lk.p.filter(late), lk.p, part)
+    results = {
+        "city_salary": gold.salary_figures(fresh["city_salary"]).select(F.col("city").alias("name"), "n", "mean_mid"),
+        "job_skill": fresh["job_skill"].groupBy(F.col("skill").alias("name")).agg(F.count("*").alias("n")),
+        "role_demand": fresh["role_demand"].groupBy(F.col("role").alias("name")).agg(F.sum("postings").alias("n")),
+    }
+    labelled = [df.select(F.lit(name).alias("table_name"), "*") for name, df in results.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
 
 
 # --- streams -------------------------------------------------------------------------
@@ -406,10 +405,10 @@ QUERIES: dict[str, Query] = {
     "rel_requires": on_lake(lambda lk: graph.rel_requires(lk.js)),
     "rel_related_to_major": on_lake(lambda lk: graph.rel_related_to_major(lk.p)),
     "rel_role_requires_skill": on_lake(lambda lk: graph.rel_role_requires_skill(lk.p, 30, 10)),
-    "node_counts": on_lake(lambda lk: graph.node_counts(_graph(lk)[0])),
-    "edge_counts": on_lake(lambda lk: graph.edge_counts(_graph(lk)[1])),
+    "node_counts": on_lake(lambda lk: graph.node_counts(lk.graph[0])),
+    "edge_counts": on_lake(lambda lk: graph.edge_counts(lk.graph[1])),
     "graph_merge": on_lake(graph_merge),
-    "overview": on_lake(lambda lk: serve.overview(*_graph(lk), lk.p, lk.js)),
+    "overview": on_lake(lambda lk: serve.overview(*lk.graph, lk.p, lk.js)),
     "job_roles": on_lake(lambda lk: serve.job_roles(lk.p)),
     "role_detail": on_lake(lambda lk: serve.role_detail(lk.p, ROLE)),
     "job_postings": on_lake(lambda lk: serve.job_postings(lk.p, ROLE, None, SKILL, MAJOR, page=2)),
@@ -425,7 +424,7 @@ QUERIES: dict[str, Query] = {
     "major_roles": on_lake(lambda lk: serve.major_roles(lk.p)),
     "role_subgraph": on_lake(lambda lk: serve.role_subgraph(lk.p, ROLE)),
     "skill_graph": on_lake(lambda lk: serve.skill_graph(lk.p, SKILL)),
-    "search": on_lake(lambda lk: serve.search(graph.build_nodes(lk.p, lk.js), SEARCH_TEXT, 50)),
+    "search": on_lake(lambda lk: serve.search(lk.graph[0], SEARCH_TEXT, 50)),
     "role_trend": on_lake(lambda lk: trends.role_trend(lk.p)),
     "skill_trend": on_lake(lambda lk: trends.skill_trend(lk.p)),
     "city_comparison": on_lake(lambda lk: trends.city_comparison(lk.p)),

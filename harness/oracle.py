@@ -296,7 +296,8 @@ FROM_BASE = {
     "gold_city_salary": "SELECT * FROM city_salary",
     "gold_role_demand": "SELECT * FROM role_demand",
     "gold_refresh": """SELECT 'city_salary' AS table_name, city AS name, n, mean_mid FROM city_salary
-        UNION ALL SELECT 'job_skill', skill, postings, CAST(NULL AS DOUBLE) FROM skill_freq""",
+        UNION ALL SELECT 'job_skill', skill, postings, CAST(NULL AS DOUBLE) FROM skill_freq
+        UNION ALL SELECT 'role_demand', role, postings, CAST(NULL AS DOUBLE) FROM role_demand""",
     "quality_report": f"SELECT source, {COVERAGE} FROM {COVERED} GROUP BY GROUPING SETS ((source), ())",
     "completeness": completeness(),
     "nodes_job_posting": "SELECT record_id AS id, title AS name, role, city, CAST(posted_on AS VARCHAR) AS posted_on FROM posting",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,6 +155,12 @@ class Lake:
     def gold(self, name: str) -> DataFrame:
         return self._read(GOLD, name)
 
+    @cached_property
+    def graph(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """Node and edge tables, written when first asked for."""
+        pipeline.write_graph(self.spark, self.root)
+        return pipeline.read_graph(self.spark, self.root)
+
 
 _lakes: dict[tuple[str, str], Lake] = {}
 

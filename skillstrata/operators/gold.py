@@ -38,24 +38,33 @@ def gold_skill_freq(js: DataFrame, p: DataFrame) -> DataFrame:
     )
 
 
+def salary_values(p: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
+    """How often each salary midpoint occurs; parts of it can be added up by ``salary_figures``."""
+    known = p.filter(F.col("salary_min").isNotNull()).withColumn("mid", midpoint())
+    return known.groupBy(*by, "mid").agg(
+        F.count("*").alias("n"), F.min("salary_min").alias("low"), F.max("salary_max").alias("high")
+    )
+
+
+def salary_figures(values: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
+    """Postings, lowest, highest, mean and exact median out of ``salary_values``."""
+    weighted = (F.col("mid") * F.col("n")).cast("decimal(28,2)")
+    return values.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.min("low").alias("salary_min"),
+        F.max("high").alias("salary_max"),
+        (F.sum(weighted).cast("double") / F.sum("n")).alias("mean_mid"),
+        F.percentile("mid", F.lit(0.5), F.col("n")).alias("median_mid"),
+    )
+
+
 def gold_city_salary(p: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
     """Postings with a salary, lowest, highest, mean and median midpoint.
 
     Salaries are counted by value before the shuffle; the exact median then weighs distinct
     values, so a city with most of the rows costs no more than its range of salaries.
     """
-    known = p.filter(F.col("salary_min").isNotNull()).withColumn("_mid", midpoint())
-    values = known.groupBy(*by, "_mid").agg(
-        F.count("*").alias("_n"), F.min("salary_min").alias("_low"), F.max("salary_max").alias("_high")
-    )
-    weighted = (F.col("_mid") * F.col("_n")).cast("decimal(28,2)")
-    return values.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        F.min("_low").alias("salary_min"),
-        F.max("_high").alias("salary_max"),
-        (F.sum(weighted).cast("double") / F.sum("_n")).alias("mean_mid"),
-        F.percentile("_mid", F.lit(0.5), F.col("_n")).alias("median_mid"),
-    )
+    return salary_figures(salary_values(p, by), by)
 
 
 def gold_role_demand(p: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skillstrata.dictionaries import Dictionaries
 from skillstrata.functions.text import is_filled, squeeze
-from skillstrata.operators import clean, gold
+from skillstrata.operators import clean, gold, graph
 from skillstrata.sources.lake import BRONZE, GOLD, SILVER, read_layer, write_layer
 
 RAW_COLUMNS = (
@@ -109,6 +109,20 @@ def write_gold(spark: SparkSession, root: str) -> None:
     write_layer(gold.gold_role_demand(p), root, GOLD, "role_demand")
 
 
+def write_graph(spark: SparkSession, root: str) -> None:
+    """Writes the node and edge tables next to Gold, for counts, search and export."""
+    p, js = read_layer(spark, root, SILVER, "posting"), read_layer(spark, root, GOLD, "job_skill")
+    for kind, table in (graph.build_nodes(p, js) | graph.build_edges(p, js)).items():
+        write_layer(table, root, GOLD, (graph.NODE_TABLES | graph.EDGE_TABLES)[kind])
+
+
+def read_graph(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Node and edge tables by kind."""
+    nodes = {kind: read_layer(spark, root, GOLD, name) for kind, name in graph.NODE_TABLES.items()}
+    edges = {kind: read_layer(spark, root, GOLD, name) for kind, name in graph.EDGE_TABLES.items()}
+    return nodes, edges
+
+
 def build_lake(spark: SparkSession, fused: DataFrame, dicts: Dictionaries, root: str, batch_id: str) -> None:
     """The whole run: each layer reads what the one below has written."""
     write_bronze(spark, fused, root, batch_id)

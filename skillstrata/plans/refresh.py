@@ -1,7 +1,8 @@
-"""Gold refresh for the keys a batch touches.
+"""Gold refresh for the months a batch touches.
 
-Keyed Gold tables are partitioned by a bucket of their key. A refresh recomputes the buckets
-of the touched keys from Silver and overwrites those partitions only.
+Gold that is refreshed is kept in parts, one partition for each month of Silver. A refresh
+reads and rewrites the touched months only; results over all months are put together from
+the parts, which are far smaller than Silver.
 """
 
 from __future__ import annotations
@@ -11,44 +12,57 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillstrata.sources.lake import GOLD, layer_path, write_layer
+from skillstrata.operators.gold import salary_values
+from skillstrata.sources.lake import GOLD, layer_path, read_layer, write_layer
 
-BUCKETS = 64
+MONTH = "posted_month"
+NO_MONTH_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
-def key_bucket(key: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.crc32(F.coalesce(key, F.lit("")).cast("binary")), F.lit(buckets)).cast("int")
+def job_skill_part(p: DataFrame) -> DataFrame:
+    """Posting-skill relation by month."""
+    return p.select("record_id", F.explode("skills").alias("skill"), MONTH)
 
 
-def write_keyed(df: DataFrame, root: str, table: str, key: str, buckets: int = BUCKETS) -> str:
-    """Writes a Gold table in the bucketed layout ``refresh_gold`` needs."""
-    return write_layer(df.withColumn("bucket", key_bucket(F.col(key), buckets)), root, GOLD, table, ["bucket"])
+def salary_part(p: DataFrame) -> DataFrame:
+    """Salary values of each city by month; ``salary_figures`` adds them up."""
+    return salary_values(p, (MONTH, "city"))
+
+
+def role_part(p: DataFrame) -> DataFrame:
+    """Postings of each role by month."""
+    return p.groupBy(MONTH, "role").agg(F.count("*").alias("postings"))
+
+
+def write_parts(p: DataFrame, root: str, table: str, part: Callable[[DataFrame], DataFrame]) -> str:
+    """Writes a Gold table by month."""
+    return write_layer(part(p), root, GOLD, table, [MONTH])
+
+
+def in_months(months: list[int | None]) -> Column:
+    """Rows of the months, where None stands for postings without a date."""
+    hit = F.col(MONTH).isin([m for m in months if m is not None])
+    return hit | F.col(MONTH).isNull() if None in months else hit
 
 
 def refresh_gold(
-    spark: SparkSession,
-    root: str,
-    table: str,
-    key: str,
-    batch: DataFrame,
-    p: DataFrame,
-    build: Callable[[DataFrame], DataFrame],
-    buckets: int = BUCKETS,
+    spark: SparkSession, root: str, table: str, batch: DataFrame, p: DataFrame, part: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Brings a keyed Gold table in line with ``p`` and returns it.
+    """Brings a Gold table kept by month in line with ``p`` and returns it.
 
     ``p`` is Silver after the batch; ``batch`` holds the rows that came, went or changed,
-    changed ones in both versions, so that a key that lost a posting counts as touched.
+    changed ones in both versions, so that a month that lost a posting counts as touched.
     """
-    bucket = key_bucket(F.col(key), buckets)
-    # At most ``buckets`` numbers reach the driver.
-    touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
-    path = layer_path(root, GOLD, table)
+    # One number for each month; the filter below prunes Silver to these partitions.
+    touched = [r[0] for r in batch.select(MONTH).distinct().collect()]
     if touched:
-        before = spark.read.parquet(path)
-        write_keyed(build(p.filter(bucket.isin(touched))), root, table, key, buckets)
-        left = {r[0] for r in p.filter(bucket.isin(touched)).select(bucket.alias("b")).distinct().collect()}
-        nothing = before.drop("bucket").limit(0)
-        for empty in sorted(set(touched) - left):
-            nothing.write.mode("overwrite").parquet(f"{path}/bucket={empty}")
-    return spark.read.parquet(path).drop("bucket")
+        schema = read_layer(spark, root, GOLD, table).drop(MONTH).schema
+        current = p.filter(in_months(touched))
+        left = {r[0] for r in part(current).select(MONTH).distinct().collect()}
+        write_layer(part(current), root, GOLD, table, [MONTH])
+        # An overwrite leaves a partition it has no row for; those are emptied one by one.
+        for month in [m for m in touched if m not in left]:
+            folder = NO_MONTH_FOLDER if month is None else month
+            nothing = spark.createDataFrame([], schema)
+            nothing.write.mode("overwrite").parquet(f"{layer_path(root, GOLD, table)}/{MONTH}={folder}")
+    return read_layer(spark, root, GOLD, table)

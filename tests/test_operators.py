@@ -244,16 +244,26 @@ def test_forecast_is_least_squares_with_zeros(tiny):
     assert flat.expected_postings == 1.0
 
 
-def test_refresh_drops_keys_that_lost_everything(spark, tiny):
+def test_refresh_empties_months_that_lost_everything(spark, tiny):
+    silver = tiny.withColumn("posted_month", F.year("posted_on") * 100 + F.month("posted_on"))
     root = scratch(spark, "refresh-test")
-    refresh.write_keyed(gold.gold_city_salary(tiny), root, "city_salary", "city")
-    moved = tiny.withColumn("city", F.when(F.col("city") == "A", "C").otherwise(F.col("city")))
-    batch = tiny.filter("city = 'A'").unionByName(moved.filter("city = 'C'"))
-    got = refresh.refresh_gold(spark, root, "city_salary", "city", batch, moved, gold.gold_city_salary)
+    refresh.write_parts(silver, root, "city_salary", refresh.salary_part)
+    # January moves to March and the posting without a date is withdrawn.
+    moved = silver.filter("posted_on IS NOT NULL").withColumn(
+        "posted_month", F.when(F.col("posted_month") == 202401, 202403).otherwise(F.col("posted_month"))
+    )
+    gone = silver.filter("posted_month = 202401 OR posted_on IS NULL")
+    batch = gone.unionByName(moved.filter("posted_month = 202403"))
+    got = gold.salary_figures(refresh.refresh_gold(spark, root, "city_salary", batch, moved, refresh.salary_part))
     want = gold.gold_city_salary(moved)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_refresh_reads_touched_months_only(lk):
+    plan = refresh.salary_part(lk.p.filter(refresh.in_months([199701])))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(posted_month" in plan
+
+
 def test_layer_keeps_partitions_it_does_not_write(spark):
     root = scratch(spark, "layer-test")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
