@@ -104,7 +104,8 @@ def extract_experience(df: DataFrame) -> DataFrame:
     No upper bound is a NULL maximum; both are NULL where nothing is said.
     """
     wanted = F.col("_wanted")
-    graduate, anyone = wanted.rlike(requirements.GRADUATE), wanted.rlike(requirements.OPEN_TO_ALL)
+    graduate = requirements.names_any(wanted, requirements.GRADUATE)
+    anyone = requirements.names_any(wanted, requirements.OPEN_TO_ALL)
     low, high, least, most = (F.col(c) for c in ("_low", "_high", "_least", "_most"))
     return (
         df.withColumn("_wanted", text.normalize(F.col("req_text")))
