@@ -163,21 +163,21 @@ def forecast(counted: DataFrame, key: str, horizon: int = 3) -> DataFrame:
     ``counted`` is ``(key, _m, postings)`` with month indexes. Months without postings are
     zeros; as they add nothing to the sums of y and xy, they need not be put in.
     """
-    first = counted.agg(F.min("_m").alias("m")).scalar()
-    last = counted.agg(F.max("_m").alias("m")).scalar()
-    sums = counted.groupBy(key).agg(
-        F.sum("postings").alias("_y"), F.sum((F.col("_m") - first) * F.col("postings")).alias("_xy")
-    )
-    n = (last - first + 1).cast("double")
-    x = n * (n - 1) / 2
+    span = counted.agg(F.struct(F.min("_m").alias("first"), F.max("_m").alias("last")).alias("span"))
+    sums = counted.groupBy(key).agg(F.sum("postings").alias("_y"), F.sum(F.col("_m") * F.col("postings")).alias("_my"))
+    n, x, y, xy = (F.col(c) for c in ("_n", "_x", "_y", "_xy"))
     xx = (n - 1) * n * (2 * n - 1) / 6
-    slope = F.coalesce((n * F.col("_xy") - x * F.col("_y")) / F.nullif(n * xx - x * x, F.lit(0.0)), F.lit(0.0))
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(horizon)))
-    fitted = sums.select(key, n.alias("_n"), slope.alias("_slope"), ((F.col("_y") - slope * x) / n).alias("_base"))
-    return fitted.select(key, "_n", "_slope", "_base", ahead.alias("months_ahead")).select(
+    fitted = (
+        sums.withColumn("_span", span.scalar())
+        .withColumn("_n", (F.col("_span.last") - F.col("_span.first") + 1).cast("double"))
+        .withColumn("_x", n * (n - 1) / 2)
+        .withColumn("_xy", F.col("_my") - F.col("_span.first") * y)
+        .withColumn("_slope", F.coalesce((n * xy - x * y) / F.nullif(n * xx - x * x, F.lit(0.0)), F.lit(0.0)))
+        .withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    )
+    expected = (y - F.col("_slope") * x) / n + F.col("_slope") * (n - 1 + F.col("_ahead"))
+    return fitted.select(
         key,
-        F.col("months_ahead").cast("bigint").alias("months_ahead"),
-        F.greatest(F.lit(0.0), F.col("_base") + F.col("_slope") * (F.col("_n") - 1 + F.col("months_ahead"))).alias(
-            "expected_postings"
-        ),
+        F.col("_ahead").cast("bigint").alias("months_ahead"),
+        F.greatest(F.lit(0.0), expected).alias("expected_postings"),
     )

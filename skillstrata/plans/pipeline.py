@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillstrata.dictionaries import Dictionaries
 from skillstrata.functions.text import is_filled, squeeze
 from skillstrata.operators import clean, gold, graph
-from skillstrata.sources.lake import BRONZE, GOLD, SILVER, read_layer, write_layer
+from skillstrata.sources.lake import BRONZE, GOLD, SILVER, at_once, read_layer, write_layer
 
 RAW_COLUMNS = (
     "record_id",
@@ -95,25 +97,32 @@ def write_silver(spark: SparkSession, root: str, dicts: Dictionaries) -> DataFra
     bronze = read_layer(spark, root, BRONZE, "posting")
     write_layer(unique_postings(bronze, dicts), root, SILVER, "posting_unique")
     unique = read_layer(spark, root, SILVER, "posting_unique")
-    write_layer(refine(unique, dicts), root, SILVER, "posting", ["posted_month"], ["record_id"])
-    write_layer(unique.select(*TEXT_COLUMNS), root, SILVER, "posting_text", sort_by=["record_id"])
+    at_once(
+        [
+            lambda: write_layer(refine(unique, dicts), root, SILVER, "posting", ["posted_month"], ["record_id"]),
+            lambda: write_layer(unique.select(*TEXT_COLUMNS), root, SILVER, "posting_text", sort_by=["record_id"]),
+        ]
+    )
     return read_layer(spark, root, SILVER, "posting")
 
 
 def write_gold(spark: SparkSession, root: str) -> None:
     p = read_layer(spark, root, SILVER, "posting")
-    write_layer(gold.gold_job_skill(p), root, GOLD, "job_skill")
-    js = read_layer(spark, root, GOLD, "job_skill")
-    write_layer(gold.gold_skill_freq(js, p), root, GOLD, "skill_freq")
-    write_layer(gold.gold_city_salary(p), root, GOLD, "city_salary")
-    write_layer(gold.gold_role_demand(p), root, GOLD, "role_demand")
+    tables = {
+        "job_skill": gold.gold_job_skill(p),
+        "skill_freq": gold.gold_skill_freq(gold.gold_job_skill(p), p),
+        "city_salary": gold.gold_city_salary(p),
+        "role_demand": gold.gold_role_demand(p),
+    }
+    at_once([partial(write_layer, table, root, GOLD, name) for name, table in tables.items()])
 
 
 def write_graph(spark: SparkSession, root: str) -> None:
     """Writes the node and edge tables next to Gold, for counts, search and export."""
     p, js = read_layer(spark, root, SILVER, "posting"), read_layer(spark, root, GOLD, "job_skill")
-    for kind, table in (graph.build_nodes(p, js) | graph.build_edges(p, js)).items():
-        write_layer(table, root, GOLD, (graph.NODE_TABLES | graph.EDGE_TABLES)[kind])
+    names = graph.NODE_TABLES | graph.EDGE_TABLES
+    tables = graph.build_nodes(p, js) | graph.build_edges(p, js)
+    at_once([partial(write_layer, table, root, GOLD, names[kind]) for kind, table in tables.items()])
 
 
 def read_graph(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from skillstrata.sources.files import read_csv, write_csv
+from skillstrata.sources.lake import at_once
 
 
 def export_graph(tables: Mapping[str, DataFrame], out_dir: str) -> dict[str, str]:
     """Writes ``{name: table}`` and returns ``{name: path}``."""
     paths = {name: f"{out_dir.rstrip('/')}/{name}" for name in tables}
-    for name, table in tables.items():
-        write_csv(table, paths[name])
+    at_once([partial(write_csv, table, paths[name]) for name, table in tables.items()])
     return paths
 
 

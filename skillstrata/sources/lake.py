@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -41,6 +42,16 @@ def write_layer(
     return path
 
 
+def at_once(writes: Iterable[Callable[[], object]], limit: int = 6) -> None:
+    """Runs writes that do not depend on each other side by side.
+
+    Spark then fills cores that the last tasks of one leave idle with tasks of the next.
+    """
+    with ThreadPoolExecutor(limit) as pool:
+        for done in [pool.submit(write) for write in writes]:
+            done.result()
+
+
 def read_layer(
     spark: SparkSession, root: str, layer: str, table: str, schema: StructType | str | None = None
 ) -> DataFrame:
