@@ -19,7 +19,7 @@ from harness import catalog, postings
 from skillstrata.operators import analytics, gold, graph, quality, relate, serve, trends
 from skillstrata.operators.clean import dedup_audit, valid_rows
 from skillstrata.plans import pipeline
-from skillstrata.session import build_session, scratch
+from skillstrata.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -46,9 +46,7 @@ def main() -> None:
         spark__sql__adaptive__advisoryPartitionSizeInBytes="2m",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    lake = postings.Lake.__new__(postings.Lake)
-    lake.spark, lake.sf_dir, lake.root = spark, SF_DIR, scratch(spark, "bench")
-    lake.dicts = postings.dictionaries(spark, SF_DIR)
+    lake = postings.Lake(spark, SF_DIR)
     drain(postings.table(spark, SF_DIR, "orders"))
 
     raw = postings.posting_raw(spark, SF_DIR)

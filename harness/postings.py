@@ -125,13 +125,16 @@ def posting_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Lake:
-    """Layers built from one folder of tables, once for a session."""
+    """Layers built from one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.root = scratch(spark, "lake")
         self.dicts = dictionaries(spark, sf_dir)
-        pipeline.build_lake(spark, posting_raw(spark, sf_dir), self.dicts, self.root, BATCH_ID)
+
+    def build(self) -> Lake:
+        pipeline.build_lake(self.spark, posting_raw(self.spark, self.sf_dir), self.dicts, self.root, BATCH_ID)
+        return self
 
     def _read(self, layer: str, name: str) -> DataFrame:
         return read_layer(self.spark, self.root, layer, name)
@@ -166,7 +169,8 @@ _lakes: dict[tuple[str, str], Lake] = {}
 
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
+    """The layers of a folder of tables, built once for a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _lakes:
-        _lakes[key] = Lake(spark, sf_dir)
+        _lakes[key] = Lake(spark, sf_dir).build()
     return _lakes[key]

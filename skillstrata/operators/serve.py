@@ -1,7 +1,7 @@
 """Answers over Silver and Gold: lists, details, rankings, local graphs, search.
 
 Where an operator takes a role, skill, city or major, leaving it out answers for all of them
-in one job. Lists are ordered by postings, highest first, then by name.
+in one job. Lists and answers for one are ordered by postings, highest first, then by name.
 """
 
 from __future__ import annotations
@@ -45,6 +45,13 @@ def _top(df: DataFrame, section: str, name: str, value: str, order: Sequence[Col
     )
 
 
+def _best(counted: DataFrame, one: bool, group: Sequence[str], order: Sequence[Column], top_n: int | None) -> DataFrame:
+    """The first rows of each group or, in order, of the one group there is."""
+    if not one:
+        return top_per_group(counted, group, order, top_n)
+    return counted.orderBy(*order) if top_n is None else counted.orderBy(*order).limit(top_n)
+
+
 def overview(
     nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], p: DataFrame, js: DataFrame, top_n: int = 10
 ) -> DataFrame:
@@ -135,28 +142,29 @@ def majors(p: DataFrame) -> DataFrame:
 def role_skills(p: DataFrame, role: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
     """Top skills of each or one role."""
     counted = _counted(_with_skill(_only(p, role=role), "role"), "role", "skill")
-    return top_per_group(counted, ["role"], _by_count("skill"), top_n)
+    return _best(counted, role is not None, ["role"], _by_count("skill"), top_n)
 
 
 def skill_roles(p: DataFrame, skill: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
     """Roles that ask most for each or one skill."""
     counted = _counted(_only(_with_skill(_only(p, role=None), "role"), skill=skill), "skill", "role")
-    return top_per_group(counted, ["skill"], _by_count("role"), top_n)
+    return _best(counted, skill is not None, ["skill"], _by_count("role"), top_n)
 
 
 def city_skills(p: DataFrame, city: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
     """Top skills of each or one city."""
     counted = _counted(_with_skill(_only(p, city=city), "city"), "city", "skill")
-    return top_per_group(counted, ["city"], _by_count("skill"), top_n)
+    return _best(counted, city is not None, ["city"], _by_count("skill"), top_n)
 
 
 def role_cities(p: DataFrame, role: str | None = None) -> DataFrame:
     """Cities of each or one role, with the share of the role's postings that have a city."""
     counted = _counted(_only(p, role=role, city=None), "role", "city")
     totals = counted.groupBy("role").agg(F.sum("postings").alias("_all"))
-    return counted.join(totals, "role").select(
+    shares = counted.join(totals, "role").select(
         "role", "city", "postings", (F.col("postings").cast("double") / F.col("_all")).alias("share")
     )
+    return _best(shares, role is not None, ["role"], _by_count("city"), None)
 
 
 def role_city_skills(
@@ -164,12 +172,13 @@ def role_city_skills(
 ) -> DataFrame:
     """Top skills of each or one pair of role and city."""
     counted = _counted(_with_skill(_only(p, role=role, city=city), "role", "city"), "role", "city", "skill")
-    return top_per_group(counted, ["role", "city"], _by_count("skill"), top_n)
+    return _best(counted, role is not None and city is not None, ["role", "city"], _by_count("skill"), top_n)
 
 
 def major_roles(p: DataFrame, major: str | None = None, mapping: DataFrame | None = None) -> DataFrame:
     """Roles tied to each or one major."""
-    return _counted(_only(posting_majors(p, mapping), major=major, role=None), "major", "role")
+    counted = _counted(_only(posting_majors(p, mapping), major=major, role=None), "major", "role")
+    return _best(counted, major is not None, ["major"], _by_count("role"), None)
 
 
 def _edges(df: DataFrame, src_kind: str, src: str, rel: str, dst_kind: str, dst: str) -> DataFrame:

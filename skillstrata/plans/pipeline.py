@@ -88,7 +88,8 @@ def build_silver_text(bronze: DataFrame, dicts: Dictionaries) -> DataFrame:
 
 
 def write_bronze(spark: SparkSession, fused: DataFrame, root: str, batch_id: str) -> DataFrame:
-    write_layer(build_bronze(fused, batch_id), root, BRONZE, "posting", ["source"])
+    """Writes Bronze as it comes, with no shuffle: sources are few."""
+    write_layer(build_bronze(fused, batch_id), root, BRONZE, "posting", ["source"], gather=False)
     return read_layer(spark, root, BRONZE, "posting")
 
 

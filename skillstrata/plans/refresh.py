@@ -35,8 +35,8 @@ def role_part(p: DataFrame) -> DataFrame:
 
 
 def write_parts(p: DataFrame, root: str, table: str, part: Callable[[DataFrame], DataFrame]) -> str:
-    """Writes a Gold table by month."""
-    return write_layer(part(p), root, GOLD, table, [MONTH])
+    """Writes a Gold table by month. The relation comes in Silver's own layout and needs no shuffle."""
+    return write_layer(part(p), root, GOLD, table, [MONTH], gather=part is not job_skill_part)
 
 
 def in_months(months: list[int | None]) -> Column:
@@ -59,7 +59,7 @@ def refresh_gold(
         schema = read_layer(spark, root, GOLD, table).drop(MONTH).schema
         current = p.filter(in_months(touched))
         left = {r[0] for r in part(current).select(MONTH).distinct().collect()}
-        write_layer(part(current), root, GOLD, table, [MONTH])
+        write_parts(current, root, table, part)
         # An overwrite leaves a partition it has no row for; those are emptied one by one.
         for month in [m for m in touched if m not in left]:
             folder = NO_MONTH_FOLDER if month is None else month

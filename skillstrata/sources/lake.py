@@ -22,16 +22,19 @@ def write_layer(
     table: str,
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
+    gather: bool = True,
 ) -> str:
     """Writes one table and returns its path; partitions not in ``df`` are kept.
 
-    The rebalance step gathers the rows of a partition into few files and splits a partition
-    that holds much of the table over several tasks. ``sort_by`` gives row groups narrow
+    With ``gather`` a rebalance shuffle brings the rows of a partition into few files and
+    splits a partition that holds much of the table over several tasks. Leave it out where
+    there are few partitions, or the rows come in by partition already: each task then
+    writes a file to every partition it has rows of. ``sort_by`` gives row groups narrow
     value ranges for lookups.
     """
     path = layer_path(root, layer, table)
     out = df
-    if partition_by:
+    if partition_by and gather:
         out = out.hint("rebalance", *partition_by)
     if partition_by or sort_by:
         out = out.sortWithinPartitions(*partition_by, *sort_by)
