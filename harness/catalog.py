@@ -28,6 +28,7 @@ SEARCH_TEXT = "an"
 RECORD_ID = "1000"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.004, 0.05
 PAGERANK_STEPS = 6
+FILES_PER_SOURCE = 2
 
 # Words common in the documents; the first of a pair stands for the second.
 TOKENS = ("the", "and", "that", "que", "les", "der", "und", "los", "with", "en")
@@ -97,6 +98,17 @@ def fuse_sources(lk: Lake) -> DataFrame:
     return files.fuse_sources(_read_platforms(lk)).select(*pipeline.RAW_COLUMNS)
 
 
+def file_census(lk: Lake) -> DataFrame:
+    """Files and rows of each platform, every one written as ``FILES_PER_SOURCE`` files."""
+    parts = []
+    for source in SOURCES:
+        path = scratch(lk.spark, f"census-{source}")
+        own = lk.bronze.filter(F.col("source") == source).select("record_id", "raw_title")
+        files.write_csv(own.repartition(FILES_PER_SOURCE, "record_id"), path)
+        parts.append(files.read_source(lk.spark, f"{path}/*.csv", source, own.schema))
+    return files.file_census(reduce(DataFrame.unionByName, parts))
+
+
 def unified_csv_roundtrip(lk: Lake) -> DataFrame:
     raw = lk.bronze.select(*pipeline.RAW_COLUMNS)
     path = scratch(lk.spark, "unified")
@@ -179,6 +191,12 @@ def graph_merge(lk: Lake) -> DataFrame:
     return _graph_rows(old_nodes, old_edges)
 
 
+def dangling_edges(lk: Lake) -> DataFrame:
+    """All edges held against the nodes of the first platform alone."""
+    first = lk.p.filter(F.col("source") == SOURCES[0])
+    return graph.dangling_edges(graph.build_nodes(first, gold.gold_job_skill(first)), lk.graph[1])
+
+
 def run_summary(lk: Lake) -> DataFrame:
     summary = quality.run_summary(lk.bronze, clean.valid_rows(lk.bronze), lk.p)
     path = scratch(lk.spark, "summary")
@@ -336,6 +354,7 @@ def _cols(build: Callable[[DataFrame], DataFrame], *cols: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "read_source": on_lake(read_source),
+    "file_census": on_lake(file_census),
     "fuse_sources": on_lake(fuse_sources),
     "unified_csv_roundtrip": on_lake(unified_csv_roundtrip),
     "layer_roundtrip": on_lake(layer_roundtrip),
@@ -408,6 +427,7 @@ QUERIES: dict[str, Query] = {
     "node_counts": on_lake(lambda lk: graph.node_counts(lk.graph[0])),
     "edge_counts": on_lake(lambda lk: graph.edge_counts(lk.graph[1])),
     "graph_merge": on_lake(graph_merge),
+    "dangling_edges": on_lake(dangling_edges),
     "overview": on_lake(lambda lk: serve.overview(*lk.graph, lk.p, lk.js)),
     "job_roles": on_lake(lambda lk: serve.job_roles(lk.p)),
     "role_detail": on_lake(lambda lk: serve.role_detail(lk.p, ROLE)),

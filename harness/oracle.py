@@ -247,6 +247,7 @@ def heat(size: int, starts: str) -> str:
 EVENT_DAY = "date_trunc('day', ts)"
 FROM_BASE = {
     "read_source": "SELECT record_id, source, major, req_text, CAST(posted_on AS VARCHAR) AS posted_on FROM posting_raw",
+    "file_census": "SELECT source, CAST(2 AS BIGINT) AS files, count(*) AS rows FROM posting_raw GROUP BY source",
     "fuse_sources": RAW_ALL,
     "unified_csv_roundtrip": RAW_ALL,
     "layer_roundtrip": RAW_ALL,
@@ -262,6 +263,13 @@ FROM_BASE = {
         UNION ALL SELECT kind, src_id, dst_id FROM edges""",
     "graph_merge": """SELECT kind, id AS src_id, name AS dst_id FROM nodes
         UNION ALL SELECT kind, src_id, dst_id FROM edges""",
+    "dangling_edges": """, part AS (SELECT * FROM posting WHERE source = 'src_a'), part_node AS (
+          SELECT record_id AS id FROM part UNION ALL SELECT md5('JobRole|' || role) FROM part
+          UNION ALL SELECT md5('City|' || city) FROM part UNION ALL SELECT md5('Company|' || company) FROM part
+          UNION ALL SELECT md5('Major|' || major) FROM part
+          UNION ALL SELECT md5('Skill|' || skill) FROM asked WHERE source = 'src_a')
+        SELECT kind, 'src_id' AS missing_end, src_id, dst_id FROM edges WHERE src_id NOT IN (SELECT id FROM part_node)
+        UNION ALL SELECT kind, 'dst_id', src_id, dst_id FROM edges WHERE dst_id NOT IN (SELECT id FROM part_node)""",
     "run_summary": f"SELECT (SELECT count(*) FROM posting_raw) AS rows_collected, {COVERAGE} FROM {COVERED}",
     "valid_rows": "SELECT record_id, source, raw_title, company FROM valid",
     "standardize_role": f"SELECT record_id, raw_title, {ROLE_OF} AS role FROM posting_raw",
