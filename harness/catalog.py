@@ -44,6 +44,28 @@ HEADERS = {
 EVENT_SCHEMA = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
 
 
+# Whole numbers that may be NULL, by query: compared as DOUBLE, since data frames outside
+# Spark have no one form for them.
+SALARIES = ("salary_min", "salary_max")
+REQUIREMENTS = ("education_rank", "exp_min_years", "exp_max_years")
+NULLABLE_NUMBERS = {
+    "parse_salary": (*SALARIES, "salary_months"),
+    "extract_education": ("education_rank",),
+    "extract_experience": ("exp_min_years", "exp_max_years"),
+    "upsert": SALARIES,
+    "silver_posting": (*SALARIES, *REQUIREMENTS),
+    "stream_clean": (*SALARIES, *REQUIREMENTS),
+    "job_postings": SALARIES,
+    "job_posting_detail": (*SALARIES, *REQUIREMENTS),
+    "role_trend": ("prior_postings", "change"),
+}
+
+
+def as_double(query: Query, columns: tuple[str, ...]) -> Query:
+    """The query with some columns as DOUBLE."""
+    return lambda spark, sf_dir: query(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Dates and lists as text, the form both engines print alike."""
     cols = []
@@ -331,7 +353,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_rules(lk: Lake) -> DataFrame:
-    rules = analytics.skill_rules(lk.p, MIN_SUPPORT, MIN_CONFIDENCE)
+    """Rules from one skill to another; on small tables longer ones are frequent too."""
+    rules = analytics.skill_rules(lk.p, MIN_SUPPORT, MIN_CONFIDENCE).filter(F.size("antecedent") == 1)
     rounded = [F.round(c, 9).alias(c) for c in ("confidence", "lift", "support")]
     return rules.select("antecedent", "consequent", *rounded)
 
@@ -465,3 +488,4 @@ QUERIES: dict[str, Query] = {
     "recommend_skills": on_lake(lambda lk: analytics.recommend_skills(lk.p, ROLE, KNOWN_SKILLS)),
     "demand_forecast": on_lake(demand_forecast),
 }
+QUERIES |= {name: as_double(QUERIES[name], columns) for name, columns in NULLABLE_NUMBERS.items()}

@@ -6,6 +6,8 @@ expressions; each query adds its own last step.
 
 from __future__ import annotations
 
+from harness.catalog import NULLABLE_NUMBERS
+
 ADJECTIVES = "('blue'), ('cold'), ('hot'), ('large'), ('new'), ('old'), ('red'), ('small')"
 NOUNS = "('anvil'), ('bolt'), ('gear'), ('gizmo'), ('plate'), ('ring'), ('rod'), ('widget')"
 
@@ -432,4 +434,9 @@ FROM_TABLES = {
         FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) = 1""",
 }
 
+# Whole numbers that may be NULL are compared as DOUBLE.
+for _name, _columns in NULLABLE_NUMBERS.items():
+    _casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _columns)
+    FROM_BASE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({FROM_BASE[_name]})"
+
 ORACLE_SQL = {name: BASE + sql for name, sql in FROM_BASE.items()} | FROM_TABLES
