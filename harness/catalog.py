@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DateType, TimestampNTZType, TimestampTy
 from harness.postings import BATCH_ID, SOURCES, Lake, lake, skill_aliases, table
 from skillstrata.functions.skills import TOKEN, SkillAlias
 from skillstrata.operators import analytics, clean, gold, graph, quality, relate, serve, trends
-from skillstrata.plans import pipeline, refresh
+from skillstrata.plans import lake_build, refresh
 from skillstrata.session import scratch
 from skillstrata.sources import files, graph_files, relational, warehouse
 from skillstrata.sources import lake as layers
@@ -89,7 +89,7 @@ def on_lake(build: Callable[[Lake], DataFrame]) -> Query:
 def _platform_files(lk: Lake) -> dict[str, tuple[str, dict[str, str], str]]:
     """Raw postings as CSV of each platform: path, renaming to common columns, schema."""
     out = {}
-    raw = lk.bronze.select(*pipeline.RAW_COLUMNS)
+    raw = lk.bronze.select(*lake_build.RAW_COLUMNS)
     for source in SOURCES:
         names = HEADERS[source]
         own = raw.filter(F.col("source") == source).drop("source")
@@ -117,7 +117,7 @@ def read_source(lk: Lake) -> DataFrame:
 
 
 def fuse_sources(lk: Lake) -> DataFrame:
-    return files.fuse_sources(_read_platforms(lk)).select(*pipeline.RAW_COLUMNS)
+    return files.fuse_sources(_read_platforms(lk)).select(*lake_build.RAW_COLUMNS)
 
 
 def file_census(lk: Lake) -> DataFrame:
@@ -132,7 +132,7 @@ def file_census(lk: Lake) -> DataFrame:
 
 
 def unified_csv_roundtrip(lk: Lake) -> DataFrame:
-    raw = lk.bronze.select(*pipeline.RAW_COLUMNS)
+    raw = lk.bronze.select(*lake_build.RAW_COLUMNS)
     path = scratch(lk.spark, "unified")
     files.write_unified(raw, path)
     return files.read_unified(lk.spark, path, raw.schema)
@@ -140,9 +140,9 @@ def unified_csv_roundtrip(lk: Lake) -> DataFrame:
 
 def layer_roundtrip(lk: Lake) -> DataFrame:
     root = scratch(lk.spark, "layer")
-    raw = lk.bronze.select(*pipeline.RAW_COLUMNS)
+    raw = lk.bronze.select(*lake_build.RAW_COLUMNS)
     layers.write_layer(raw, root, layers.BRONZE, "posting", ["source"], ["record_id"])
-    return layers.read_layer(lk.spark, root, layers.BRONZE, "posting").select(*pipeline.RAW_COLUMNS)
+    return layers.read_layer(lk.spark, root, layers.BRONZE, "posting").select(*lake_build.RAW_COLUMNS)
 
 
 def _warehouse(lk: Lake) -> str:
@@ -426,7 +426,7 @@ QUERIES: dict[str, Query] = {
     ),
     "upsert": on_lake(upsert),
     "bronze": on_lake(lambda lk: lk.bronze.drop("source_file")),
-    "silver_posting": on_lake(lambda lk: lk.p.select(*pipeline.SILVER_COLUMNS)),
+    "silver_posting": on_lake(lambda lk: lk.p.select(*lake_build.SILVER_COLUMNS)),
     "silver_text": on_lake(lambda lk: lk.text),
     "gold_job_skill": on_lake(lambda lk: gold.gold_job_skill(lk.p)),
     "gold_skill_freq": on_lake(lambda lk: gold.gold_skill_freq(lk.js, lk.p)),
@@ -434,7 +434,7 @@ QUERIES: dict[str, Query] = {
     "gold_role_demand": on_lake(lambda lk: gold.gold_role_demand(lk.p)),
     "gold_refresh": on_lake(gold_refresh),
     "quality_report": on_lake(lambda lk: quality.quality_report(clean.valid_rows(lk.bronze), lk.p)),
-    "completeness": on_lake(lambda lk: quality.completeness(lk.bronze.select(*pipeline.RAW_COLUMNS))),
+    "completeness": on_lake(lambda lk: quality.completeness(lk.bronze.select(*lake_build.RAW_COLUMNS))),
     "nodes_job_posting": on_lake(lambda lk: graph.nodes_job_posting(lk.p)),
     "nodes_job_role": on_lake(lambda lk: graph.nodes_job_role(lk.p)),
     "nodes_skill": on_lake(lambda lk: graph.nodes_skill(lk.js)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skillstrata.dictionaries import Dictionaries, RoleRule
 from skillstrata.functions.skills import PHRASE, SkillAlias
-from skillstrata.plans import pipeline
+from skillstrata.plans import lake_build
 from skillstrata.session import scratch
 from skillstrata.sources.lake import BRONZE, GOLD, SILVER, read_layer
 
@@ -133,7 +133,7 @@ class Lake:
         self.dicts = dictionaries(spark, sf_dir)
 
     def build(self) -> Lake:
-        pipeline.build_lake(self.spark, posting_raw(self.spark, self.sf_dir), self.dicts, self.root, BATCH_ID)
+        lake_build.build_lake(self.spark, posting_raw(self.spark, self.sf_dir), self.dicts, self.root, BATCH_ID)
         return self
 
     def _read(self, layer: str, name: str) -> DataFrame:
@@ -161,8 +161,8 @@ class Lake:
     @cached_property
     def graph(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         """Node and edge tables, written when first asked for."""
-        pipeline.write_graph(self.spark, self.root)
-        return pipeline.read_graph(self.spark, self.root)
+        lake_build.write_graph(self.spark, self.root)
+        return lake_build.read_graph(self.spark, self.root)
 
 
 _lakes: dict[tuple[str, str], Lake] = {}

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from skillstrata.dictionaries import Dictionaries
 from skillstrata.operators.clean import valid_rows, with_fingerprint
-from skillstrata.plans.pipeline import refine
+from skillstrata.plans.lake_build import refine
 
 JSON_FORMATS = ("kafka", "text")
 SALTS = 32

@@ -11,7 +11,7 @@ from skillstrata.dictionaries import ROLE_RULES, Dictionaries
 from skillstrata.functions import skills as matching
 from skillstrata.functions.skills import PHRASE, SKILL_SCHEMA, TOKEN, SkillAlias
 from skillstrata.operators import clean
-from skillstrata.plans import pipeline
+from skillstrata.plans import lake_build
 
 RAW_SCHEMA = (
     "record_id string, source string, raw_title string, raw_city string, company string, major string, "
@@ -205,6 +205,6 @@ def test_dedup_of_a_hot_group_is_reduced_before_the_shuffle(spark):
 
 def test_refine_gives_the_silver_columns(spark):
     df = raw(spark, {"description": "Python, 机器学习", "salary_text": "8-12千/月", "req_text": "本科 3-5年"})
-    row = pipeline.build_silver(pipeline.build_bronze(df, "b1"), Dictionaries()).first()
-    assert tuple(row.asDict()) == pipeline.SILVER_COLUMNS
+    row = lake_build.build_silver(lake_build.build_bronze(df, "b1"), Dictionaries()).first()
+    assert tuple(row.asDict()) == lake_build.SILVER_COLUMNS
     assert (row.role, row.city, row.skills, row.posted_month) == ("数据分析师", "北京", ["python", "机器学习"], 202401)

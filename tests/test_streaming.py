@@ -6,7 +6,7 @@ import pytest
 
 from harness.postings import lake as build_lake
 from skillstrata.operators.clean import valid_rows
-from skillstrata.plans.pipeline import refine
+from skillstrata.plans.lake_build import refine
 from skillstrata.session import scratch
 from skillstrata.streaming import postings as streams
 from skillstrata.streaming import sinks
