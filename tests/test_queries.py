@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from harness.catalog import QUERIES
+from harness.oracle import ORACLE_SQL
 from tests.compare import SF_DIR, connect, difference
 
 
@@ -14,7 +16,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):
@@ -23,6 +25,6 @@ def test_entry(spark):
     assert df.count() == 15
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    assert difference(spark, duck, name, queries()[name], oracle_sql()[name], SF_DIR) is None
+    assert difference(spark, duck, name, QUERIES[name], ORACLE_SQL[name], SF_DIR) is None
