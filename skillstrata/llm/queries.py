@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skillstrata.llm import simhash, suffix_quality
+from skillstrata.llm import bpe, simhash, suffix_quality, token_files
 from skillstrata.llm.common import table
+from skillstrata.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +19,32 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write(documents, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    read = token_files.read(spark, folder, manifest)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op6_token_files": op6_token_files,
+    "op7_bpe": op7_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
