@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillstrata.session import scratch
+from skillstrata.llm.common import stored
 
 MAX_ROUNDS = 100
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read again: lineage is cut, executors may go."""
-    path = scratch(df.sparkSession, "links")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _distinct(links: DataFrame) -> DataFrame:
     return links.where("a <> b").distinct()
 
@@ -28,18 +21,18 @@ def components(links: DataFrame) -> DataFrame:
     to the smallest node it knows. The number of rounds grows with the logarithm of the
     longest path, and a node's neighbours are never gathered in a list.
     """
-    links = _stored(_distinct(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    links = stored(_distinct(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "links")
     before = None
     for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _stored(_distinct(large))
+        large = stored(_distinct(large), "links")
         # small-star: a node's smaller neighbours, and the node itself, hang on the smallest.
         least = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("of"))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        links = _stored(_distinct(small))
+        links = stored(_distinct(small), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillstrata.llm import bpe, simhash, suffix_quality, token_files
+from skillstrata.llm import bpe, mixing, simhash, suffix_quality, token_files
 from skillstrata.llm.common import table
 from skillstrata.session import scratch
 
@@ -19,6 +19,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(documents, mixing.cycled_weights(documents, (3.0, 1.0, 2.0)), share=1.5, most=2)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
@@ -43,6 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_mixing": op4_mixing,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
     "op9_quality_rules": op9_quality_rules,

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillstrata.llm.common import pieces, texts_of, without
+from skillstrata.llm.common import pieces, stored, texts_of, without
 from skillstrata.llm.components import components
 from skillstrata.session import scratch
 
@@ -252,12 +252,6 @@ def longer_masks(mask: int) -> list[int]:
     return [mask_of(tuple(sorted(fixed | set(free[part :: RADIUS + 1])))) for part in range(RADIUS + 1)]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def links(prints: DataFrame) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints that connect all that lie within RADIUS bits."""
     spark = prints.sparkSession

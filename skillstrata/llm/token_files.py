@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skillstrata.llm.bpe import gather, packed
+from skillstrata.llm.bpe import packed
 from skillstrata.llm.common import partitions, pieces, texts_of
 from skillstrata.llm.word_cache import WordCache
 
