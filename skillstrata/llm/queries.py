@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillstrata.llm import bpe, mixing, simhash, suffix_quality, token_files
+from skillstrata.llm import bpe, mixing, simhash, suffix_quality, token_files, url_rules
 from skillstrata.llm.common import table
 from skillstrata.session import scratch
 
@@ -42,6 +42,20 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -51,6 +65,27 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
+    "op8_url_rules": op8_url_rules,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+OP8_SQL = r"""
+WITH rules(host, path, verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+           ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), parts AS (
+    SELECT row_number() OVER () AS place, page_id,
+           translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), best AS (
+    SELECT place, arg_max(rules.host || rules.path, [length(rules.host || rules.path), length(rules.host)]) AS rule,
+           arg_max(verdict, [length(rules.host || rules.path), length(rules.host)]) AS verdict
+    FROM parts JOIN rules
+      ON ('.' || parts.host LIKE '%.' || rules.host) AND starts_with(parts.path, rules.path)
+    GROUP BY place
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (place)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_url_rules": OP8_SQL}
