@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillstrata.llm import bpe, mixing, simhash, suffix_quality, token_files, url_rules
+from skillstrata.llm import ball_tree, bpe, mixing, simhash, suffix_quality, token_files, url_rules
 from skillstrata.llm.common import table
 from skillstrata.session import scratch
 
@@ -60,6 +60,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_mixing": op4_mixing,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": op7_bpe,
     "op8_url_rules": op8_url_rules,
     "op9_quality_rules": op9_quality_rules,
+    "op10_top_k": op10_top_k,
 }
 
 OP8_SQL = r"""
@@ -88,4 +93,17 @@ WITH rules(host, path, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (place)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_url_rules": OP8_SQL}
+OP10_SQL = """
+WITH wanted AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM wanted q JOIN wanted c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_top_k": OP10_SQL, "op8_url_rules": OP8_SQL}

@@ -289,6 +289,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = least.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = root.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     labels = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that both sides of the last join are dealt out for it and a hot fingerprint can be split.
+    labels = stored(labels, "labels")
     return docs.join(labels, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
