@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillstrata.llm import ball_tree, bpe, mixing, simhash, suffix_quality, token_files, url_rules
+from skillstrata.llm import ball_tree, bpe, line_templates, mixing, simhash, suffix_quality, token_files, url_rules
 from skillstrata.llm.common import table
 from skillstrata.session import scratch
 
@@ -24,6 +24,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, mixing.cycled_weights(documents, (3.0, 1.0, 2.0)), share=1.5, most=2)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
@@ -67,6 +72,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
     "op8_url_rules": op8_url_rules,
