@@ -8,17 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillstrata.llm import ball_tree, bpe, line_templates, mixing, simhash, suffix_quality, token_files, url_rules
+from skillstrata.llm import ball_tree, bpe, licenses, line_templates, mixing, simhash, suffix_quality, surrogates, token_files, url_rules
 from skillstrata.llm.common import table
 from skillstrata.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+PII_KEY = "corpus-key-1"  # a deployment passes its own secret
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(documents, mixing.cycled_weights(documents, (3.0, 1.0, 2.0)), share=1.5, most=2)
@@ -70,7 +81,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
