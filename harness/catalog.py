@@ -326,7 +326,7 @@ def stream_dedup(lk: Lake) -> DataFrame:
 
 
 def _heat(spark: SparkSession, sf_dir: str, size: str, slide: str | None) -> DataFrame:
-    heat = streams.heat_stream(_event_postings(spark, sf_dir), "posted_at", ["raw_title"], size, slide)
+    heat = streams.heat_stream(_event_postings(spark, sf_dir), "posted_at", ["raw_title"], size, slide, delay="1 day")
     path, key = scratch(spark, "heat"), ["window_start", "window_end", "raw_title"]
     sinks.sink_upsert(heat, path, key, scratch(spark, "heat-checkpoint"), mode="update").awaitTermination()
     return plain(sinks.read_upserted(spark, path, key))
@@ -460,10 +460,10 @@ QUERIES: dict[str, Query] = {
     "cities": on_lake(lambda lk: serve.cities(lk.p)),
     "majors": on_lake(lambda lk: serve.majors(lk.p)),
     "role_skills": on_lake(lambda lk: serve.role_skills(lk.p, top_n=3)),
-    "skill_roles": on_lake(lambda lk: serve.skill_roles(lk.p, top_n=2)),
+    "skill_roles": on_lake(lambda lk: serve.skill_roles(lk.p)),
     "city_skills": on_lake(lambda lk: serve.city_skills(lk.p, top_n=5)),
     "role_cities": on_lake(lambda lk: serve.role_cities(lk.p)),
-    "role_city_skills": on_lake(lambda lk: serve.role_city_skills(lk.p, top_n=3)),
+    "role_city_skills": on_lake(lambda lk: serve.role_city_skills(lk.p)),
     "major_roles": on_lake(lambda lk: serve.major_roles(lk.p)),
     "role_subgraph": on_lake(lambda lk: serve.role_subgraph(lk.p, ROLE)),
     "skill_graph": on_lake(lambda lk: serve.skill_graph(lk.p, SKILL)),

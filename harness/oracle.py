@@ -33,13 +33,14 @@ def salary_group(n: int) -> str:
 
 
 def monthly(n: int) -> str:
+    """Whole yuan a month in whole numbers: millionths of the amount times the unit, divided and floored."""
     yuan = (
-        f"(CAST({salary_group(n)} AS DOUBLE) * CASE {salary_group(3)} "
-        "WHEN '千' THEN 1e3 WHEN '万' THEN 1e4 ELSE 1e0 END)"
+        f"(CAST(CAST({salary_group(n)} AS DECIMAL(18, 6)) * 1000000 AS BIGINT) * CASE {salary_group(3)} "
+        "WHEN '千' THEN 1000 WHEN '万' THEN 10000 ELSE 1 END)"
     )
     return (
-        f"CASE WHEN regexp_matches(salary_text, '{SALARY}') THEN CAST(floor(CASE {salary_group(4)} "
-        f"WHEN '月' THEN {yuan} WHEN '年' THEN {yuan} / 12e0 ELSE {yuan} * 21.75e0 END) AS BIGINT) END"
+        f"CASE WHEN regexp_matches(salary_text, '{SALARY}') THEN CAST(CASE {salary_group(4)} "
+        f"WHEN '月' THEN {yuan} // 1000000 WHEN '年' THEN {yuan} // 12000000 ELSE {yuan} * 2175 // 100000000 END AS BIGINT) END"
     )
 
 
@@ -83,7 +84,7 @@ BASE = f"""WITH described AS (
     c_name AS company, c_mktsegment AS major,
     CASE o_orderkey % 6
       WHEN 0 THEN CAST(5 + o_custkey % 20 AS VARCHAR) || '-' || CAST(6 + o_custkey % 20 + o_orderkey % 5 AS VARCHAR) || '千/月'
-      WHEN 1 THEN '1.5-2.5万/月·' || CAST(12 + o_custkey % 4 AS VARCHAR) || '薪'
+      WHEN 1 THEN '8.12-16.08千/月·' || CAST(12 + o_custkey % 4 AS VARCHAR) || '薪'
       WHEN 2 THEN CAST(10 + o_custkey % 20 AS VARCHAR) || '-' || CAST(12 + o_custkey % 20 AS VARCHAR) || '万/年'
       WHEN 3 THEN '200-300元/天' WHEN 4 THEN '面议' END AS salary_text,
     CASE o_orderkey % 7 WHEN 0 THEN '大专 经验不限' WHEN 1 THEN '本科及以上，3-5年经验' WHEN 2 THEN '硕士 1年以上'
@@ -162,6 +163,12 @@ BASE = f"""WITH described AS (
   SELECT role, year(posted_on) * 12 + month(posted_on) - 1 AS m, count(*) AS postings FROM posting GROUP BY ALL
 ), monthly_skill AS (
   SELECT skill, year(posted_on) * 12 + month(posted_on) - 1 AS m, count(*) AS postings FROM asked GROUP BY ALL
+), every_role AS (
+  SELECT role, m, coalesce(postings, 0) AS postings
+  FROM (SELECT role, unnest(range(min(m), max(m) + 1)) AS m FROM monthly_role GROUP BY role) LEFT JOIN monthly_role USING (role, m)
+), every_skill AS (
+  SELECT skill, m, coalesce(postings, 0) AS postings
+  FROM (SELECT skill, unnest(range(min(m), max(m) + 1)) AS m FROM monthly_skill GROUP BY skill) LEFT JOIN monthly_skill USING (skill, m)
 ), pair AS (
   SELECT a.skill AS skill_a, b.skill AS skill_b, count(*) AS postings
   FROM job_skill a JOIN job_skill b ON a.record_id = b.record_id AND a.skill < b.skill GROUP BY ALL
@@ -353,17 +360,16 @@ FROM_BASE = {
     "cities": "SELECT city, count(*) AS postings FROM posting GROUP BY city",
     "majors": "SELECT major, count(*) AS postings FROM posting GROUP BY major",
     "role_skills": top("role", "skill", 3),
-    "skill_roles": top("skill", "role", 2),
+    "skill_roles": "SELECT skill, role, count(*) AS postings FROM asked GROUP BY ALL",
     "city_skills": top("city", "skill", 5),
     "role_cities": """SELECT role, city, count(*) AS postings,
         CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY role) AS share FROM posting GROUP BY role, city""",
-    "role_city_skills": top("role, city", "skill", 3),
+    "role_city_skills": "SELECT role, city, skill, count(*) AS postings FROM asked GROUP BY ALL",
     "major_roles": "SELECT major, role, count(*) AS postings FROM posting GROUP BY ALL",
     "role_subgraph": """SELECT 'JobRole' AS src_kind, 'priority' AS src, rel, dst_kind, dst, weight FROM (
           SELECT 'ROLE_REQUIRES_SKILL' AS rel, 'Skill' AS dst_kind, skill AS dst, count(*) AS weight FROM asked WHERE role = 'priority' GROUP BY skill
           UNION ALL SELECT 'LOCATED_IN', 'City', city, count(*) FROM posting WHERE role = 'priority' GROUP BY city
-          UNION ALL SELECT 'RELATED_TO_MAJOR', 'Major', major, count(*) FROM posting WHERE role = 'priority' GROUP BY major)
-        QUALIFY row_number() OVER (PARTITION BY rel ORDER BY weight DESC, dst) <= 10""",
+          UNION ALL SELECT 'RELATED_TO_MAJOR', 'Major', major, count(*) FROM posting WHERE role = 'priority' GROUP BY major)""",
     "skill_graph": """SELECT 'JobRole' AS src_kind, role AS src, 'ROLE_REQUIRES_SKILL' AS rel, 'Skill' AS dst_kind, 'rod' AS dst, count(*) AS weight
           FROM asked WHERE skill = 'rod' GROUP BY role
         UNION ALL SELECT 'Major', major, 'RELATED_TO_ROLE', 'JobRole', role, count(*) FROM asked WHERE skill = 'rod' GROUP BY major, role""",
@@ -372,9 +378,9 @@ FROM_BASE = {
         WHERE match IS NOT NULL ORDER BY match, name, kind, id LIMIT 50""",
     "role_trend": f"""SELECT role, {MONTH_NAME} AS month, postings, CAST(prior AS BIGINT) AS prior_postings, CAST(postings - prior AS BIGINT) AS change
         FROM (SELECT a.*, CASE WHEN a.m > min(a.m) OVER (PARTITION BY a.role) THEN coalesce(b.postings, 0) END AS prior
-          FROM monthly_role a LEFT JOIN monthly_role b ON b.role = a.role AND b.m = a.m - 1)""",
+          FROM every_role a LEFT JOIN every_role b ON b.role = a.role AND b.m = a.m - 1)""",
     "skill_trend": f"""SELECT a.skill, {MONTH_NAME.replace('m //', 'a.m //').replace('m %', 'a.m %')} AS month, a.postings, CAST(sum(b.postings) AS BIGINT) AS postings_3m
-        FROM monthly_skill a JOIN monthly_skill b ON b.skill = a.skill AND b.m BETWEEN a.m - 2 AND a.m GROUP BY ALL""",
+        FROM every_skill a JOIN every_skill b ON b.skill = a.skill AND b.m BETWEEN a.m - 2 AND a.m GROUP BY ALL""",
     "city_comparison": """SELECT city, count(*) AS postings, count(DISTINCT role) AS roles, count(DISTINCT company) AS companies,
         CAST(sum(CAST((salary_min + salary_max) / 2e0 AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(salary_min), 0) AS mean_mid
         FROM posting GROUP BY city""",
@@ -410,7 +416,7 @@ FROM_BASE = {
           WHERE role = 'priority' AND skill NOT IN ('rod', 'red plate') GROUP BY skill)
         SELECT skill, role_postings, s AS share, s / f.share AS lift, s * (s / f.share) AS score
         FROM (SELECT *, CAST(role_postings AS DOUBLE) / (SELECT count(*) FROM posting WHERE role = 'priority') AS s FROM own)
-        JOIN skill_freq f USING (skill) ORDER BY score DESC, skill LIMIT 20""",
+        JOIN skill_freq f USING (skill)""",
     "demand_forecast": forecast("monthly_role", "role") + " UNION ALL " + forecast("monthly_skill", "skill"),
 }
 

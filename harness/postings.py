@@ -80,7 +80,7 @@ def posting_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     salary = (
         F.when(k % 6 == 0, F.concat((ck % 20 + 5).cast("string"), F.lit("-"), (ck % 20 + 6 + k % 5).cast("string"), F.lit("千/月")))
-        .when(k % 6 == 1, F.concat(F.lit("1.5-2.5万/月·"), (ck % 4 + 12).cast("string"), F.lit("薪")))
+        .when(k % 6 == 1, F.concat(F.lit("8.12-16.08千/月·"), (ck % 4 + 12).cast("string"), F.lit("薪")))
         .when(k % 6 == 2, F.concat((ck % 20 + 10).cast("string"), F.lit("-"), (ck % 20 + 12).cast("string"), F.lit("万/年")))
         .when(k % 6 == 3, F.lit("200-300元/天"))
         .when(k % 6 == 4, F.lit("面议"))

@@ -37,9 +37,10 @@ class YearsPattern(NamedTuple):
     fixed_part: Sequence[str]
 
 
-SPAN = YearsPattern(r"([0-9]+)-([0-9]+)年", ("-",))
-AT_LEAST = YearsPattern(r"([0-9]+)年(?:及)?以上", ("以上",))
-AT_MOST = YearsPattern(r"([0-9]+)年(?:及)?(?:以内|以下)", ("以内", "以下"))
+# A number of years has at most two digits, so that a span of calendar years is not one.
+SPAN = YearsPattern(r"(?<![0-9])([0-9]{1,2})[-~至]([0-9]{1,2})年", ("-", "~", "至"))
+AT_LEAST = YearsPattern(r"(?<![0-9])([0-9]{1,2})年(?:及)?以上", ("以上",))
+AT_MOST = YearsPattern(r"(?<![0-9])([0-9]{1,2})年(?:及)?(?:以内|以下)", ("以内", "以下"))
 GRADUATE = ("在校", "应届")
 OPEN_TO_ALL = ("经验不限", "不限经验", "无经验", "无需经验")
 

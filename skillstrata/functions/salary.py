@@ -12,7 +12,7 @@ from skillstrata.functions.text import FIELD_SEPARATOR, normalize
 
 SALARY_PATTERN = r"^([0-9.]+)-([0-9.]+)(千|万|元)/(月|年|天)(·([0-9]+)薪)?$"
 LOW, HIGH, UNIT, PERIOD, MONTHS, PARTS = 0, 1, 2, 3, 4, 5
-UNIT_YUAN = {"千": 1e3, "万": 1e4, "元": 1.0}
+UNIT_YUAN = {"千": 1_000, "万": 10_000, "元": 1}
 DAYS_PER_MONTH = 21.75
 MONTHS_PAID = 12
 
@@ -28,16 +28,16 @@ def parts(text: Column) -> Column:
 
 
 def monthly(fields: Column, which: int, days_per_month: float = DAYS_PER_MONTH) -> Column:
-    """``LOW`` or ``HIGH`` of the parts in whole yuan a month."""
-    yuan = fields[which].try_cast("double")
-    factor = F.lit(None).cast("double")
+    """``LOW`` or ``HIGH`` of the parts in whole yuan a month, in exact decimal arithmetic."""
+    yuan = fields[which].try_cast("decimal(18,6)")
+    factor = F.lit(None).cast("decimal(5,0)")
     for name, size in UNIT_YUAN.items():
-        factor = F.when(fields[UNIT] == name, F.lit(size)).otherwise(factor)
+        factor = F.when(fields[UNIT] == name, F.lit(size).cast("decimal(5,0)")).otherwise(factor)
     period = fields[PERIOD]
     per_month = (
         F.when(period == "月", yuan * factor)
-        .when(period == "年", yuan * factor / F.lit(12.0))
-        .when(period == "天", yuan * factor * F.lit(days_per_month))
+        .when(period == "年", yuan * factor / F.lit(12).cast("decimal(2,0)"))
+        .when(period == "天", yuan * factor * F.lit(str(days_per_month)).cast("decimal(6,3)"))
     )
     return F.floor(per_month).cast("bigint")
 

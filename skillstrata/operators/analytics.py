@@ -136,8 +136,8 @@ def role_similarity(p: DataFrame) -> DataFrame:
     )
 
 
-def recommend_skills(p: DataFrame, role: str, known: Sequence[str] = (), top_n: int = 20) -> DataFrame:
-    """Skills to learn for a role, best first, without those already known.
+def recommend_skills(p: DataFrame, role: str, known: Sequence[str] = (), top_n: int | None = None) -> DataFrame:
+    """Skills to learn for a role, best first, without those already known; all or the ``top_n`` best.
 
     The score is the share of the role's postings that ask for the skill, times its lift over
     all postings: common in the role, and more so than elsewhere.
@@ -148,13 +148,13 @@ def recommend_skills(p: DataFrame, role: str, known: Sequence[str] = (), top_n:
         in_role = in_role.filter(~F.col("skill").isin(list(known)))
     share = share_of_total(F.col("role_postings"), posting_count(own))
     overall = share_of_total(F.col("postings"), posting_count(p))
-    return (
+    ranked = (
         in_role.join(_skill_counts(p), "skill")
         .select("skill", "role_postings", share.alias("share"), (share / overall).alias("lift"))
         .withColumn("score", F.col("share") * F.col("lift"))
         .orderBy(F.col("score").desc(), "skill")
-        .limit(top_n)
     )
+    return ranked if top_n is None else ranked.limit(top_n)
 
 
 def forecast(counted: DataFrame, key: str, horizon: int = 3) -> DataFrame:

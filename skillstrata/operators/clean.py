@@ -41,12 +41,13 @@ def standardize_role(df: DataFrame, rules: Sequence[RoleRule], other: str = OTHE
 def standardize_city(df: DataFrame, aliases: DataFrame | None, suffix: str = CITY_SUFFIX) -> DataFrame:
     """Adds ``city``: the name an alias stands for, else the cleaned text itself.
 
+    Of several names for one alias the first in the alphabet counts, so no posting is doubled.
     No join hint: the planner broadcasts the aliases where their size allows it.
     """
     bare = F.nullif(F.trim(F.regexp_replace(text.normalize(F.col("raw_city")), suffix, "")), F.lit(""))
     if aliases is None:
         return df.withColumn("city", bare)
-    names = aliases.select(F.col("alias").alias("_city_key"), F.col("city").alias("_city_name"))
+    names = aliases.groupBy(F.col("alias").alias("_city_key")).agg(F.min("city").alias("_city_name"))
     return (
         df.withColumn("_city_key", bare)
         .join(names, "_city_key", "left")

@@ -50,12 +50,13 @@ def latest_by_key(df: DataFrame, key: Sequence[str], version: str) -> DataFrame:
     return last.select(*[F.col(c) if c in key else F.col(f"_last.{c}") for c in df.columns])
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, key: Sequence[str], version: str | None = None) -> DataFrame:
     """``target`` with rows of ``updates`` put in: same key replaces, new key is added.
 
-    ``updates`` must hold each key once (see ``latest_by_key``). The result must go to
-    another path than the one ``target`` is read from. NULL equals NULL in a key.
+    Of a key's rows in ``updates`` the one with the highest ``version`` counts, without a
+    version the highest row (see ``latest_by_key``). The result must go to another path than the one ``target`` is read from. NULL equals NULL in a key.
     """
+    updates = latest_by_key(updates.withColumn("_version", F.col(version) if version else F.lit(0)), key, "_version").drop("_version")
     on: Column = F.lit(True)
     fresh = updates.select(*[F.col(k).alias(f"_new_{k}") for k in key])
     for k in key:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillstrata.functions.ranking import top_per_group
+from skillstrata.functions.text import normalize
 from skillstrata.operators.graph import edge_counts, node_counts, posting_majors
 
 TOP_N = 20
@@ -70,8 +71,8 @@ def job_roles(p: DataFrame) -> DataFrame:
     return _counted(p, "role").orderBy(*_by_count("role"))
 
 
-def role_detail(p: DataFrame, role: str, top_n: int = 10) -> DataFrame:
-    """Size, salaries and top skills of one role as ``(section, name, value)``."""
+def role_detail(p: DataFrame, role: str, top_n: int | None = None) -> DataFrame:
+    """Size, salaries and skills of one role, all or the top ones, as ``(section, name, value)``."""
     own = _only(p, role=role)
     middle = (F.col("salary_min") + F.col("salary_max")) / 2.0
     figures = own.agg(
@@ -97,12 +98,13 @@ def job_postings(
     major: str | None = None,
     page: int = 1,
     page_size: int = PAGE_SIZE,
-    after: tuple[str, str] | None = None,
+    after: tuple[str | None, str] | None = None,
 ) -> DataFrame:
     """One page of the postings that pass the filters, newest first, then by record id.
 
-    ``after`` is the ``(posted_on, record_id)`` of the last row seen: the next page then costs
-    the same however deep it is, where ``page`` sorts out all rows before it.
+    ``after`` is the ``(posted_on, record_id)`` of the last row seen, with None for a posting
+    without a date, which come last: the next page then costs the same however deep it is,
+    where ``page`` sorts out all rows before it.
     """
     for col, value in (("role", role), ("city", city), ("major", major)):
         if value is not None:
@@ -111,7 +113,12 @@ def job_postings(
         p = p.filter(F.array_contains("skills", skill))
     if after is not None:
         day, record = F.lit(after[0]).cast("date"), F.lit(after[1])
-        p = p.filter((F.col("posted_on") < day) | ((F.col("posted_on") == day) & (F.col("record_id") > record)))
+        later = F.col("record_id") > record
+        undated = F.col("posted_on").isNull()
+        if after[0] is None:
+            p = p.filter(undated & later)
+        else:
+            p = p.filter((F.col("posted_on") < day) | ((F.col("posted_on") == day) & later) | undated)
     rows = p.select("record_id", "title", "role", "city", "company", "major", "salary_min", "salary_max", "posted_on")
     ordered = rows.orderBy(F.col("posted_on").desc(), "record_id")
     skipped = 0 if after is not None else (page - 1) * page_size
@@ -145,8 +152,8 @@ def role_skills(p: DataFrame, role: str | None = None, top_n: int | None = TOP_N
     return _best(counted, role is not None, ["role"], _by_count("skill"), top_n)
 
 
-def skill_roles(p: DataFrame, skill: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
-    """Roles that ask most for each or one skill."""
+def skill_roles(p: DataFrame, skill: str | None = None, top_n: int | None = None) -> DataFrame:
+    """Roles that ask for each or one skill, all or those that ask most."""
     counted = _counted(_only(_with_skill(_only(p, role=None), "role"), skill=skill), "skill", "role")
     return _best(counted, skill is not None, ["skill"], _by_count("role"), top_n)
 
@@ -168,9 +175,9 @@ def role_cities(p: DataFrame, role: str | None = None) -> DataFrame:
 
 
 def role_city_skills(
-    p: DataFrame, role: str | None = None, city: str | None = None, top_n: int | None = TOP_N
+    p: DataFrame, role: str | None = None, city: str | None = None, top_n: int | None = None
 ) -> DataFrame:
-    """Top skills of each or one pair of role and city."""
+    """Skills of each or one pair of role and city, all or the top ones."""
     counted = _counted(_with_skill(_only(p, role=role, city=city), "role", "city"), "role", "city", "skill")
     return _best(counted, role is not None and city is not None, ["role", "city"], _by_count("skill"), top_n)
 
@@ -192,8 +199,8 @@ def _edges(df: DataFrame, src_kind: str, src: str, rel: str, dst_kind: str, dst:
     )
 
 
-def role_subgraph(p: DataFrame, role: str, top_n: int = 10, mapping: DataFrame | None = None) -> DataFrame:
-    """Strongest edges from a role to skills, cities and majors, ``top_n`` of each kind."""
+def role_subgraph(p: DataFrame, role: str, top_n: int | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """Edges from a role to skills, cities and majors, all or the ``top_n`` strongest of each kind."""
     own = _only(p, role=role)
     parts = [
         _edges(_counted(_with_skill(own, "role"), "role", "skill"), "JobRole", "role", "ROLE_REQUIRES_SKILL", "Skill", "skill"),
@@ -204,8 +211,10 @@ def role_subgraph(p: DataFrame, role: str, top_n: int = 10, mapping: DataFrame |
     return top_per_group(every, ["rel"], [F.col("weight").desc(), F.col("dst")], top_n)
 
 
-def skill_graph(p: DataFrame, skill: str | None = None, top_n: int = 50, mapping: DataFrame | None = None) -> DataFrame:
-    """Strongest role-skill and major-role edges, ``top_n`` of each kind.
+def skill_graph(
+    p: DataFrame, skill: str | None = None, top_n: int | None = None, mapping: DataFrame | None = None
+) -> DataFrame:
+    """Role-skill and major-role edges, all or the ``top_n`` strongest of each kind.
 
     With a skill, only its own role edges and the majors of postings that ask for it.
     """
@@ -219,14 +228,17 @@ def skill_graph(p: DataFrame, skill: str | None = None, top_n: int = 50, mapping
     return top_per_group(every, ["rel"], [F.col("weight").desc(), F.col("src"), F.col("dst")], top_n)
 
 
-def search(nodes: Mapping[str, DataFrame], text: str, limit: int = TOP_N) -> DataFrame:
-    """Nodes whose name holds the text: exact match first, then prefix, then anywhere."""
-    wanted = text.strip().lower()
+def search(nodes: Mapping[str, DataFrame], text: str, limit: int | None = None) -> DataFrame:
+    """Nodes whose name holds the text: exact match first, then prefix, then anywhere.
+
+    The text is normalised as names were. Blank text finds nothing.
+    """
+    wanted = F.nullif(normalize(F.lit(text)), F.lit(""))
     hits = []
     for kind, table in nodes.items():
         name = F.lower(F.trim("name"))
         match = F.when(name == wanted, 0).when(name.startswith(wanted), 1).when(name.contains(wanted), 2)
         found = table.select(F.lit(kind).alias("kind"), "id", "name", match.cast("bigint").alias("match"))
         hits.append(found.filter(F.col("match").isNotNull()))
-    every = reduce(DataFrame.unionByName, hits)
-    return every.orderBy("match", "name", "kind", "id").limit(limit)
+    every = reduce(DataFrame.unionByName, hits).orderBy("match", "name", "kind", "id")
+    return every if limit is None else every.limit(limit)

@@ -28,15 +28,22 @@ def monthly(df: DataFrame, *keys: str) -> DataFrame:
     return dated.groupBy(*keys, "_m").agg(F.count("*").alias("postings"))
 
 
+def every_month(counted: DataFrame, key: str) -> DataFrame:
+    """``(key, _m, postings)`` with a line for each month from a key's first to its last, zero where it has none."""
+    spans = counted.groupBy(key).agg(F.min("_m").alias("_first"), F.max("_m").alias("_last"))
+    months = spans.select(key, F.explode(F.sequence("_first", "_last")).alias("_m"))
+    known = counted.select(F.col(key).alias("_key"), F.col("_m").alias("_at"), "postings")
+    joined = months.join(known, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_m") == F.col("_at")), "left")
+    return joined.select(key, "_m", F.coalesce("postings", F.lit(0).cast("long")).alias("postings"))
+
+
 def role_trend(p: DataFrame) -> DataFrame:
-    """Postings of each role and month and the change against the month before.
+    """Postings of each role and month, from its first to its last, and the change against the month before.
 
-    A month without postings counts as zero; the first month of a role has no change.
+    A month without postings has a line with zero; the first month of a role has no change.
     """
     in_order = Window.partitionBy("role").orderBy("_m")
-    last_month, last_count = F.lag("_m").over(in_order), F.lag("postings").over(in_order)
-    prior = F.when(last_month == F.col("_m") - 1, last_count).when(last_month.isNotNull(), F.lit(0))
-    trend = monthly(p, "role").withColumn("_prior", prior)
+    trend = every_month(monthly(p, "role"), "role").withColumn("_prior", F.lag("postings").over(in_order))
     return trend.select(
         "role",
         month_name(F.col("_m")).alias("month"),
@@ -47,9 +54,9 @@ def role_trend(p: DataFrame) -> DataFrame:
 
 
 def skill_trend(p: DataFrame) -> DataFrame:
-    """Postings of each skill and month and their sum over the last three months."""
+    """Postings of each skill and month, from its first to its last, and their sum over the last three months."""
     last_three = Window.partitionBy("skill").orderBy("_m").rangeBetween(-2, 0)
-    counted = monthly(p.select("posted_on", F.explode("skills").alias("skill")), "skill")
+    counted = every_month(monthly(p.select("posted_on", F.explode("skills").alias("skill")), "skill"), "skill")
     return counted.select(
         "skill",
         month_name(F.col("_m")).alias("month"),

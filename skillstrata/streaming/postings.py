@@ -48,9 +48,13 @@ def dedup_stream(s: DataFrame, event_time: str, delay: str, row_id: str = "recor
 
 
 def heat_stream(
-    s: DataFrame, event_time: str, keys: Sequence[str], size: str, slide: str | None = None, delay: str = "1 day"
+    s: DataFrame, event_time: str, keys: Sequence[str], size: str, slide: str | None = None, *, delay: str
 ) -> DataFrame:
-    """Rows of each key in tumbling or sliding event-time windows."""
+    """Rows of each key in tumbling or sliding event-time windows.
+
+    ``delay`` is the caller's to choose: rows later than that behind the newest are dropped. The
+    query's progress counts them (``stateOperators[0].numRowsDroppedByWatermark``).
+    """
     window = F.window(event_time, size, slide)
     counted = s.withWatermark(event_time, delay).groupBy(window, *keys).agg(F.count("*").alias("postings"))
     return counted.select(

@@ -208,3 +208,21 @@ def test_refine_gives_the_silver_columns(spark):
     row = lake_build.build_silver(lake_build.build_bronze(df, "b1"), Dictionaries()).first()
     assert tuple(row.asDict()) == lake_build.SILVER_COLUMNS
     assert (row.role, row.city, row.skills, row.posted_month) == ("数据分析师", "北京", ["python", "机器学习"], 202401)
+
+
+@pytest.mark.parametrize(("text", "expected"), [("8.12-16.08千/月", (8120, 16080)), ("12-24万/年", (10000, 20000)), ("200-300元/天", (4350, 6525))])
+def test_salaries_are_exact(spark, text, expected):
+    parsed = clean.parse_salary(raw(spark, {"salary_text": text}))
+    assert column(parsed, "salary_min", "salary_max") == [expected]
+
+
+@pytest.mark.parametrize(("text", "expected"), [("2020-2024年毕业", (None, None)), ("3~5年经验", (3, 5)), ("3至5年", (3, 5)), ("10-15年", (10, 15))])
+def test_calendar_years_are_no_experience(spark, text, expected):
+    found = clean.extract_experience(raw(spark, {"req_text": text}))
+    assert column(found, "exp_min_years", "exp_max_years") == [expected]
+
+
+def test_a_repeated_city_alias_does_not_double_postings(spark):
+    aliases = spark.createDataFrame([("sh", "Shanghai"), ("sh", "Shantou")], "alias string, city string")
+    found = clean.standardize_city(raw(spark, {"raw_city": "SH"}), aliases)
+    assert column(found, "city") == ["Shanghai"] or column(found, "city") == [("Shanghai",)]

@@ -186,12 +186,19 @@ def test_skill_graph_around_one_skill(tiny):
 
 def test_role_trend_counts_empty_months(tiny):
     lines = [(r.role, r.month, r.postings, r.prior_postings, r.change) for r in trends.role_trend(tiny).orderBy("role", "month").collect()]
-    assert lines == [("x", "2024-01", 2, None, None), ("x", "2024-04", 1, 0, 1), ("y", "2024-02", 1, None, None)]
+    assert lines == [
+        ("x", "2024-01", 2, None, None),
+        ("x", "2024-02", 0, 2, -2),
+        ("x", "2024-03", 0, 0, 0),
+        ("x", "2024-04", 1, 0, 1),
+        ("y", "2024-02", 1, None, None),
+    ]
 
 
 def test_skill_trend_window_is_in_months(tiny):
     lines = {(r.skill, r.month): r.postings_3m for r in trends.skill_trend(tiny).collect()}
     assert lines[("a", "2024-01")] == 2 and lines[("a", "2024-04")] == 1 and lines[("c", "2024-02")] == 2
+    assert lines[("a", "2024-02")] == 2
 
 
 def test_cooccurrence_against_brute_force(lk):
@@ -307,3 +314,31 @@ def test_jdbc(spark):
     back = relational.read_jdbc(spark, url, "t", split_on="id", bounds=(0, 100), connections=4)
     assert back.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_pages_after_a_row_reach_undated_postings(spark):
+    rows = [(str(i), "r", "c", "m", ["s"], date(2024, 1, 1) if i < 3 else None, 1, 2) for i in range(6)]
+    p, seen, last = postings(spark, *rows), [], None
+    while page := serve.job_postings(p, page_size=2, after=last).collect():
+        seen += [r.record_id for r in page]
+        last = (page[-1].posted_on and str(page[-1].posted_on), page[-1].record_id)
+    assert seen == [str(i) for i in range(6)]
+
+
+def test_answers_hold_all_rows_unless_limited(spark):
+    rows = [(str(i), f"role {i}", "c", "m", ["s"], date(2024, 1, 1), 1, 2) for i in range(60)]
+    p = postings(spark, *rows)
+    assert serve.skill_roles(p, "s").count() == 60 and serve.skill_roles(p, "s", 5).count() == 5
+    assert serve.skill_graph(p, "s").count() == 120 and serve.skill_graph(p, "s", 3).count() == 6
+
+
+def test_search_text_is_normalised(spark):
+    nodes = {"Skill": spark.createDataFrame([("1", "python"), ("2", "java")], "id string, name string")}
+    assert [r.id for r in serve.search(nodes, " Ｐython ").collect()] == ["1"]
+    assert serve.search(nodes, "  ").count() == 0
+
+
+def test_upsert_takes_one_row_of_a_repeated_key(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    updates = spark.createDataFrame([("a", 2), ("a", 3), ("c", 1)], "k string, v int")
+    assert sorted(map(tuple, relate.upsert(target, updates, ["k"], "v").collect())) == [("a", 3), ("b", 1), ("c", 1)]
