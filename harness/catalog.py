@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, TimestampNTZType, TimestampType
 
 from harness.postings import BATCH_ID, SOURCES, Lake, lake, skill_aliases, table
-from skillstrata.functions.skills import TOKEN, SkillAlias
+from skillstrata.functions.skills import SKILL_SCHEMA, TOKEN, SkillAlias
 from skillstrata.operators import analytics, clean, gold, graph, quality, relate, serve, trends
 from skillstrata.plans import lake_build, refresh
 from skillstrata.session import scratch
@@ -32,6 +32,7 @@ FILES_PER_SOURCE = 2
 
 # Words common in the documents; the first of a pair stands for the second.
 TOKENS = ("the", "and", "that", "que", "les", "der", "und", "los", "with", "en")
+HARD_TOKENS = ("apache license", "cc by-nc", "4.0", "and/or")
 TOKEN_ALIASES = (("le", "les"), ("la", "les"))
 
 # Each platform names its columns differently.
@@ -235,7 +236,15 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_skills_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = [SkillAlias(word, word, TOKEN) for word in TOKENS] + [SkillAlias(a, s, TOKEN) for a, s in TOKEN_ALIASES]
-    found = clean.extract_skills(table(spark, sf_dir, "documents"), words, "text", "doc_id")
+    found = clean.extract_skills(table(spark, sf_dir, "documents"), words, "text")
+    return plain(found.select("doc_id", "skills"))
+
+
+def extract_skills_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary as a table, with blanks, dots, hyphens and slashes inside its tokens."""
+    words = [SkillAlias(word, word, TOKEN) for word in (*HARD_TOKENS, "que", "los")]
+    aliases = spark.createDataFrame(words, SKILL_SCHEMA)
+    found = clean.extract_skills(table(spark, sf_dir, "documents"), aliases, "text")
     return plain(found.select("doc_id", "skills"))
 
 
@@ -405,6 +414,7 @@ QUERIES: dict[str, Query] = {
         lambda lk: clean.extract_skills(lk.bronze, skill_aliases()).select("record_id", "skills")
     ),
     "extract_skills_token": extract_skills_token,
+    "extract_skills_dictionary": extract_skills_dictionary,
     "lineage": on_lake(lineage),
     "fingerprint": _cols(clean.with_fingerprint, "fingerprint"),
     "dedup": on_lake(dedup),

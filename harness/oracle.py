@@ -431,6 +431,14 @@ FROM_TABLES = {
         )
         SELECT doc_id, coalesce(string_agg(skill, ',' ORDER BY skill), '') AS skills
         FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id""",
+    "extract_skills_dictionary": rf"""WITH alias(skill, body) AS (
+          VALUES ('apache license', 'apache license'), ('cc by-nc', 'cc by-nc'), ('4.0', '4\.0'), ('and/or', 'and/or'), ('que', 'que'), ('los', 'los')
+        ), hit AS (
+          SELECT doc_id, skill FROM documents, alias WHERE regexp_matches({norm('text')},
+            '(^|[^.\p{{Latin}}0-9+#]|(^|[^\p{{Latin}}0-9+#])\.)(' || body || ')($|[^.\p{{Latin}}0-9+#]|\.($|[^\p{{Latin}}0-9+#]))')
+        )
+        SELECT doc_id, coalesce(string_agg(skill, ',' ORDER BY skill), '') AS skills
+        FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id""",
     "stream_source": """SELECT CAST(event_id AS VARCHAR) AS record_id, CAST(ts AS VARCHAR) AS posted_at,
         'company-' || user_id AS company, event_type AS raw_title, json_extract_string(props, '$.k') AS skill FROM events""",
     "stream_heat_tumbling": heat(1, f"[{EVENT_DAY}]"),

@@ -5,9 +5,10 @@ no blanks between words; at each place the longest alias wins and its characters
 up, so ``java`` is not found inside ``javascript``. A *token* must be a whole word, which
 suits short names such as ``r``, ``c++`` or ``go``.
 
-A dictionary of up to ``INLINE_LIMIT`` aliases goes into the expression itself: no shuffle,
-and the same code runs on a stream. A larger one stays a DataFrame and is met with an equi
-join (``match_by_join``); both give the same result.
+A dictionary given as a list goes into the expression itself: no shuffle, and the same code
+runs on a stream. One given as a DataFrame, of any size, is met with an equi join
+(``match_by_join``). Both give the same result. Of several skills for one alias and kind the
+first in the alphabet counts.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from collections.abc import Iterable, Sequence
 from itertools import groupby
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillstrata.functions.text import normalize
 
 PHRASE, TOKEN = "phrase", "token"
-INLINE_LIMIT = 5_000
 SKILL_SCHEMA = "alias string, skill string, mode string"
 
 # A word: Latin letters and digits, with + and # anywhere and . only inside.
@@ -39,25 +39,18 @@ class SkillAlias(NamedTuple):
     mode: str = PHRASE
 
 
-def inline_aliases(dictionary: DataFrame | Iterable[SkillAlias]) -> list[SkillAlias] | None:
-    """The dictionary as a list, or None where it is too large for an expression."""
-    if isinstance(dictionary, DataFrame):
-        rows: Sequence[Row] = dictionary.select("alias", "skill", "mode").limit(INLINE_LIMIT + 1).collect()
-        aliases = [SkillAlias(r.alias, r.skill, r.mode) for r in rows]
-    else:
-        aliases = list(dictionary)
-    return aliases if len(aliases) <= INLINE_LIMIT else None
-
-
 def _no_skills() -> Column:
     return F.array().cast("array<string>")
 
 
 def _to_skill(hits: Column, aliases: Sequence[SkillAlias]) -> Column:
-    renamed = [(a.alias, a.skill) for a in aliases if a.alias != a.skill]
+    skill_of: dict[str, str] = {}
+    for a in aliases:
+        skill_of[a.alias] = min(a.skill, skill_of.get(a.alias, a.skill))
+    renamed = {alias: skill for alias, skill in skill_of.items() if alias != skill}
     if not renamed:
         return hits
-    names = F.create_map(*[F.lit(x) for pair in renamed for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
     return F.transform(F.array_distinct(hits), lambda hit: F.coalesce(F.try_element_at(names, hit), hit))
 
 
@@ -109,52 +102,58 @@ def skills_in(text: Column, aliases: Sequence[SkillAlias]) -> Column:
     return F.sort_array(F.array_distinct(F.concat(*found))) if found else _no_skills()
 
 
-def match_by_join(df: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, skills)`` for texts with at least one skill, for a dictionary of any size.
+def match_by_join(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, skills)`` for texts with at least one skill; ``key`` is unique.
 
-    Every substring with the length of some alias is joined to the dictionary on equality;
-    the longest-first rule is then applied to the hits of each text, which its length bounds.
+    Every substring with the length of some alias is joined to the dictionary on equality. Tokens
+    must stand between edges of words; then the longest-first rule is applied to the hits of
+    each text, which its length bounds.
     """
-    clean = df.select(F.col(key), normalize(F.col(text)).alias("_clean"))
-    phrases = dictionary.filter(F.col("mode") == PHRASE).select("alias", "skill")
-    tokens = dictionary.filter(F.col("mode") == TOKEN).select("alias", "skill")
-
-    # One number for each alias length, of which there are few.
-    lengths = [r[0] for r in phrases.select(F.length("alias")).distinct().collect()]
-    by_token = (
-        clean.select(key, F.explode(words_in(F.col("_clean"))).alias("alias")).join(tokens, "alias").select(key, "skill")
-    )
-    if not lengths:
-        found = by_token
-    else:
-        chars = F.split(F.col("_clean"), "")
-
-        def grams(size: Column) -> Column:
-            starts = F.when(
-                F.length("_clean") >= size, F.sequence(F.lit(1), F.length("_clean") - size + 1)
-            ).otherwise(F.array().cast("array<int>"))
-            return F.transform(
-                starts,
-                lambda at: F.struct(
-                    at.alias("at"), size.alias("size"), F.array_join(F.slice(F.col("_chars"), at, size), "").alias("alias")
-                ),
+    aliases = dictionary.groupBy("alias", "mode").agg(F.min("skill").alias("skill"))
+    # One number for each alias length and one string for each pair of letters an alias begins with:
+    # both are bounded by the alphabet, however large the dictionary is.
+    lengths = [r[0] for r in aliases.select(F.length("alias")).distinct().collect() if r[0]]
+    heads = [r[0] for r in aliases.select(F.substring("alias", 1, 2)).distinct().collect() if r[0]]
+    clean = texts.select(F.col(key), normalize(F.col(text)).alias("_clean")).withColumn("_chars", F.split("_clean", ""))
+
+    def windows(size: int) -> Column:
+        # Out of an array, as a place in a string is found by counting from its beginning.
+        def part(start: Column, length: Column) -> Column:
+            return F.array_join(F.slice("_chars", start, length), "")
+
+        def window(at: Column) -> Column:
+            start = F.greatest(at - 2, F.lit(1))
+            return F.struct(
+                at.alias("at"),
+                part(at, F.lit(size)).alias("alias"),
+                part(start, at - start).alias("before"),
+                part(at + size, F.lit(2)).alias("after"),
             )
 
-        windows = clean.withColumn("_chars", chars).select(
-            key, F.inline(F.flatten(F.transform(F.array(*[F.lit(n) for n in lengths]), grams)))
-        )
-        hits = (
-            windows.join(phrases, "alias")
-            .groupBy(key)
-            .agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("size")).alias("minus_size"), "skill"))).alias("_hits"))
-        )
-        start = F.struct(F.lit(0).alias("free"), _no_skills().alias("skills"))
-
-        def take(state: Column, hit: Column) -> Column:
-            next_free = hit["at"] - hit["minus_size"]
-            taken = F.struct(next_free.alias("free"), F.array_append(state["skills"], hit["skill"]).alias("skills"))
-            return F.when(hit["at"] >= state["free"], taken).otherwise(state)
-
-        by_phrase = hits.select(key, F.explode(F.aggregate("_hits", start, take)["skills"]).alias("skill"))
-        found = by_phrase.unionByName(by_token)
+        return F.transform(F.filter("_starts", lambda at: at <= F.size("_chars") - (size - 1)), window)
+
+    if not lengths:
+        return clean.select(key, _no_skills().alias("skills")).limit(0)
+    singles, pairs = [h for h in heads if len(h) == 1], [h for h in heads if len(h) > 1]
+
+    def begins(char: Column, at: Column) -> Column:
+        pair = F.concat(char, F.coalesce(F.get("_chars", at + 1), F.lit("")))
+        return F.when(char.isin(singles) | pair.isin(pairs), at + 1)
+
+    clean = clean.withColumn("_starts", F.filter(F.transform("_chars", begins), lambda at: at.isNotNull()))
+    every = clean.select(key, F.explode(F.array(*map(windows, lengths))).alias("_windows")).select(key, F.inline("_windows"))
+    # No alias begins or ends with a blank: normalised names have none there.
+    every = every.filter(~F.col("alias").startswith(" ") & ~F.col("alias").endswith(" "))
+    inside_word = F.col("before").rlike(rf"{LETTER}\.?$") | F.col("after").rlike(rf"^\.?{LETTER}")
+    hits = every.join(aliases, "alias").filter((F.col("mode") == PHRASE) | ~inside_word)
+    hit = F.struct("at", (-F.length("alias")).alias("minus_size"), "skill")
+    by_text = hits.groupBy(key, "mode").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
+    start = F.struct(F.lit(0).alias("free"), _no_skills().alias("skills"))
+
+    def take(state: Column, one: Column) -> Column:
+        next_free = one["at"] - one["minus_size"]
+        taken = F.struct(next_free.alias("free"), F.array_append(state["skills"], one["skill"]).alias("skills"))
+        return F.when(one["at"] >= state["free"], taken).otherwise(state)
+
+    found = by_text.select(key, F.explode(F.aggregate("_hits", start, take)["skills"]).alias("skill"))
     return found.groupBy(key).agg(F.sort_array(F.collect_set("skill")).alias("skills"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skillstrata.dictionaries import CITY_SUFFIX, OTHER_ROLE, RoleRule
 from skillstrata.functions import requirements, salary, text
 from skillstrata.functions.requirements import EDUCATION_LEVELS, EducationLevel
-from skillstrata.functions.skills import SkillAlias, inline_aliases, match_by_join, skills_in
+from skillstrata.functions.skills import SkillAlias, match_by_join, skills_in
 
 FINGERPRINT_COLUMNS = ("raw_title", "raw_city", "company", "salary_text", "description", "posted_on")
 LAST_PRIORITY = 1_000_000
@@ -133,24 +133,20 @@ def extract_experience(df: DataFrame) -> DataFrame:
 
 
 def extract_skills(
-    df: DataFrame,
-    dictionary: Sequence[SkillAlias] | DataFrame,
-    text_col: str = "description",
-    key: str = "record_id",
+    df: DataFrame, dictionary: Sequence[SkillAlias] | DataFrame, text_col: str = "description"
 ) -> DataFrame:
     """Adds ``skills``, sorted and distinct, empty where none is found.
 
-    ``key`` must be unique; it is used only where the dictionary is too large to be put into
-    the expression.
+    A list becomes part of the expression; a DataFrame of any size is joined. In a join each
+    different text is matched once, whichever postings have it.
     """
-    aliases = inline_aliases(dictionary)
-    if aliases is not None:
-        return df.withColumn("skills", skills_in(F.col(text_col), aliases))
     if not isinstance(dictionary, DataFrame):
-        dictionary = df.sparkSession.createDataFrame(list(dictionary), "alias string, skill string, mode string")
-    found = match_by_join(df, dictionary, key, text_col)
-    empty = F.array().cast("array<string>")
-    return df.join(found, key, "left").withColumn("skills", F.coalesce("skills", empty))
+        return df.withColumn("skills", skills_in(F.col(text_col), list(dictionary)))
+    named = df.withColumn("_text_id", F.md5(text_col))
+    texts = named.filter(F.col("_text_id").isNotNull()).groupBy("_text_id").agg(F.first(text_col).alias("_text"))
+    found = match_by_join(texts, dictionary, "_text_id", "_text")
+    skills = F.coalesce("skills", F.array().cast("array<string>"))
+    return named.join(found, "_text_id", "left").withColumn("skills", skills).drop("_text_id")
 
 
 def with_lineage(df: DataFrame, batch_id: str) -> DataFrame:

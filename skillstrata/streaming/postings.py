@@ -28,8 +28,7 @@ def posting_stream(spark: SparkSession, fmt: str, options: Mapping[str, str], sc
 def clean_stream(s: DataFrame, dicts: Dictionaries) -> DataFrame:
     """Raw postings of a stream in Silver form.
 
-    Give the skills as a list or a dictionary within the inline limit: a larger one is joined
-    with an aggregate, which a stream cannot append.
+    Give the skills as a list: a DataFrame is joined with an aggregate, which a stream cannot append.
     """
     return refine(with_fingerprint(valid_rows(s)), dicts)
 

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillstrata.dictionaries import ROLE_RULES, Dictionaries
-from skillstrata.functions import skills as matching
 from skillstrata.functions.skills import PHRASE, SKILL_SCHEMA, TOKEN, SkillAlias
 from skillstrata.operators import clean
 from skillstrata.plans import lake_build
@@ -157,14 +156,15 @@ def test_extract_skills(spark):
     assert column(clean.extract_skills(df, ALIASES), "skills") == [want for _, want in TEXTS]
 
 
-def test_large_dictionary_gives_the_same_skills(spark, monkeypatch):
-    df = raw(spark, *[{"record_id": f"{i:02d}", "description": text} for i, (text, _) in enumerate(TEXTS)])
-    dictionary = spark.createDataFrame(ALIASES, SKILL_SCHEMA)
-    assert column(clean.extract_skills(df, dictionary), "skills") == [want for _, want in TEXTS]
-    monkeypatch.setattr(matching, "INLINE_LIMIT", 3)
-    assert matching.inline_aliases(dictionary) is None
-    assert column(clean.extract_skills(df, dictionary), "skills") == [want for _, want in TEXTS]
-    assert column(clean.extract_skills(df, ALIASES), "skills") == [want for _, want in TEXTS]
+def test_list_and_table_of_aliases_give_the_same_skills(spark):
+    texts = ["Spring Boot, .NET und CI/CD", "T-SQL; t-sqlx springboot", "asp.net r, R&D c++17 c++", None, "", "node.js v2.r .net.x"]
+    hard = [SkillAlias(a, a, TOKEN) for a in ("spring boot", "spring", ".net", "ci/cd", "t-sql", "r", "c++", "node.js")]
+    twice = [SkillAlias("java", "b", PHRASE), SkillAlias("java", "a", PHRASE), SkillAlias("spring", "framework", TOKEN)]
+    for aliases, given in ((ALIASES, [text for text, _ in TEXTS]), (hard + twice, texts)):
+        df = raw(spark, *[{"record_id": "same id", "description": text} for text in given])
+        by_list = clean.extract_skills(df, aliases).select("description", "skills").collect()
+        by_table = clean.extract_skills(df, spark.createDataFrame(aliases, SKILL_SCHEMA)).select("description", "skills").collect()
+        assert sorted(map(repr, by_list)) == sorted(map(repr, by_table)) and len(by_list) == len(given)
 
 
 def test_fingerprint(spark):
