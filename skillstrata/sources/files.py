@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+ROWS_PER_FILE = 200_000
+
 # Spark's CSV defaults trim blanks on write and read '' back as NULL; these keep the text whole.
 CSV_OPTIONS = {
     "header": "true",
@@ -21,16 +23,19 @@ CSV_OPTIONS = {
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
     """CSV with an explicit schema.
 
+    A file whose header names other columns, or the same in another order, is an error: by
+    position its values would land in the wrong columns.
+
     Descriptions hold line breaks, hence ``multi_line``; with it each file is one task. Turn
     it off for feeds of large files without line breaks in a field, which Spark then splits.
     """
-    reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
+    reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("mode", "PERMISSIVE").option("enforceSchema", "false")
     return reader.option("multiLine", str(multi_line).lower()).csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV as a folder of part files."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """CSV as a folder of part files of bounded size, as a file with line breaks in fields is one task to read."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def read_source(
@@ -68,9 +73,9 @@ def write_unified(df: DataFrame, path: str) -> None:
     write_csv(df, path)
 
 
-def read_unified(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_unified(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
     """The fused table back from CSV."""
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, multi_line)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -342,3 +342,11 @@ def test_upsert_takes_one_row_of_a_repeated_key(spark):
     target = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     updates = spark.createDataFrame([("a", 2), ("a", 3), ("c", 1)], "k string, v int")
     assert sorted(map(tuple, relate.upsert(target, updates, ["k"], "v").collect())) == [("a", 3), ("b", 1), ("c", 1)]
+
+
+def test_a_header_in_another_order_is_an_error(spark):
+    path = scratch(spark, "swapped")
+    spark.createDataFrame([("engineer", "1")], "job string, id string").write.option("header", True).csv(path)
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_source(spark, path, "a", "id string, job string").collect()
+    assert files.read_source(spark, path, "a", "job string, id string").first().job == "engineer"
