@@ -141,7 +141,7 @@ class Lake:
 
     @property
     def bronze(self) -> DataFrame:
-        return self._read(BRONZE, "posting")
+        return lake_build.read_bronze(self.spark, self.root)
 
     @property
     def p(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,14 +89,22 @@ def build_silver_text(bronze: DataFrame, dicts: Dictionaries) -> DataFrame:
 
 
 def write_bronze(spark: SparkSession, fused: DataFrame, root: str, batch_id: str) -> DataFrame:
-    """Writes Bronze as it comes, with no shuffle: sources are few."""
-    write_layer(build_bronze(fused, batch_id), root, BRONZE, "posting", ["source"], gather=False)
-    return read_layer(spark, root, BRONZE, "posting")
+    """Writes a batch of Bronze as it comes, with no shuffle: sources are few.
+
+    Each batch has its own folder, so another batch stays and the same one is replaced whole.
+    """
+    write_layer(build_bronze(fused, batch_id), root, BRONZE, f"posting/batch={quote(batch_id)}", ["source"], gather=False)
+    return read_bronze(spark, root)
+
+
+def read_bronze(spark: SparkSession, root: str) -> DataFrame:
+    """The raw postings of all batches; ``batch_id`` is a column of the files."""
+    return read_layer(spark, root, BRONZE, "posting").drop("batch")
 
 
 def write_silver(spark: SparkSession, root: str, dicts: Dictionaries) -> DataFrame:
     """Writes Silver. The dedup is the one wide shuffle, so its result is kept and read twice."""
-    bronze = read_layer(spark, root, BRONZE, "posting")
+    bronze = read_bronze(spark, root)
     write_layer(unique_postings(bronze, dicts), root, SILVER, "posting_unique")
     unique = read_layer(spark, root, SILVER, "posting_unique")
     at_once(

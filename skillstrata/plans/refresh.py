@@ -36,7 +36,7 @@ def role_part(p: DataFrame) -> DataFrame:
 
 def write_parts(p: DataFrame, root: str, table: str, part: Callable[[DataFrame], DataFrame]) -> str:
     """Writes a Gold table by month. The relation comes in Silver's own layout and needs no shuffle."""
-    return write_layer(part(p), root, GOLD, table, [MONTH], gather=part is not job_skill_part)
+    return write_layer(part(p), root, GOLD, table, [MONTH], gather=part is not job_skill_part, keep_partitions=True)
 
 
 def in_months(months: list[int | None]) -> Column:

@@ -23,9 +23,11 @@ def write_layer(
     partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
     gather: bool = True,
+    keep_partitions: bool = False,
 ) -> str:
-    """Writes one table and returns its path; partitions not in ``df`` are kept.
+    """Writes one table in place of what is there and returns its path.
 
+    With ``keep_partitions`` only the partitions of ``df`` are replaced and others stay.
     With ``gather`` a rebalance shuffle brings the rows of a partition into few files and
     splits a partition that holds much of the table over several tasks. Leave it out where
     there are few partitions, or the rows come in by partition already: each task then
@@ -38,7 +40,7 @@ def write_layer(
         out = out.hint("rebalance", *partition_by)
     if partition_by or sort_by:
         out = out.sortWithinPartitions(*partition_by, *sort_by)
-    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if keep_partitions else "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

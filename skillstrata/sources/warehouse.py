@@ -19,7 +19,7 @@ class ExternalTable(NamedTuple):
 
 # ODS holds what was collected, DWD the cleaned rows, DWS relations, ADS results.
 TABLES = (
-    ExternalTable("ods_posting", BRONZE, "posting", ("source",)),
+    ExternalTable("ods_posting", BRONZE, "posting", ("batch", "source")),
     ExternalTable("dwd_posting", SILVER, "posting", ("posted_month",)),
     ExternalTable("dwd_posting_text", SILVER, "posting_text"),
     ExternalTable("dws_job_skill", GOLD, "job_skill"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from harness.postings import lake as build_lake
 from skillstrata.functions.ranking import dense_rank_desc, top_per_group
 from skillstrata.operators import analytics, clean, gold, graph, quality, relate, serve, trends
-from skillstrata.plans import refresh
+from skillstrata.plans import lake_build, refresh
 from skillstrata.session import scratch
 from skillstrata.sources import files, lake, relational
 
@@ -275,8 +275,11 @@ def test_layer_keeps_partitions_it_does_not_write(spark):
     root = scratch(spark, "layer-test")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     lake.write_layer(df, root, lake.SILVER, "t", ["k"])
-    lake.write_layer(df.filter("k = 'a'").withColumn("v", F.lit(9)), root, lake.SILVER, "t", ["k"])
+    changed = df.filter("k = 'a'").withColumn("v", F.lit(9))
+    lake.write_layer(changed, root, lake.SILVER, "t", ["k"], keep_partitions=True)
     assert {r.k: r.v for r in lake.read_layer(spark, root, lake.SILVER, "t").collect()} == {"a": 9, "b": 2}
+    lake.write_layer(changed, root, lake.SILVER, "t", ["k"])
+    assert {r.k: r.v for r in lake.read_layer(spark, root, lake.SILVER, "t").collect()} == {"a": 9}
 
 
 def test_file_census(spark, lk):
@@ -350,3 +353,17 @@ def test_a_header_in_another_order_is_an_error(spark):
     with pytest.raises(Exception, match="(?i)header"):
         files.read_source(spark, path, "a", "id string, job string").collect()
     assert files.read_source(spark, path, "a", "job string, id string").first().job == "engineer"
+
+
+def test_a_second_batch_keeps_the_first(spark, lk):
+    root, raw = scratch(spark, "batches"), lk.bronze.select(*lake_build.RAW_COLUMNS)
+    half = F.pmod(F.xxhash64("record_id"), F.lit(2))
+    for batch, rows in (("2024-05", raw.filter(half == 0)), ("2024-06", raw.filter(half == 1))):
+        lake_build.build_lake(spark, rows, lk.dicts, root, batch)
+    lake_build.write_bronze(spark, raw.filter(half == 1), root, "2024-06")
+    bronze = lake_build.read_bronze(spark, root)
+    assert {r.batch_id for r in bronze.select("batch_id").distinct().collect()} == {"2024-05", "2024-06"}
+    assert bronze.count() == raw.count()
+    ids = sorted(r.record_id for r in lake.read_layer(spark, root, lake.SILVER, "posting").collect())
+    assert ids == sorted(r.record_id for r in lk.p.collect())
+    assert ids == sorted(r.record_id for r in lake.read_layer(spark, root, lake.SILVER, "posting_text").collect())
