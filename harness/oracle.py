@@ -348,7 +348,7 @@ FROM_BASE = {
         UNION ALL SELECT 'summary', 'salary_mean',
           CAST(sum(CAST((salary_min + salary_max) / 2e0 AS DECIMAL(18, 2))) AS DOUBLE) / count(salary_min) FROM own
         UNION ALL SELECT 'skills', skill, CAST(n AS DOUBLE) FROM (
-          SELECT skill, count(*) AS n FROM asked WHERE role = 'priority' GROUP BY skill ORDER BY n DESC, skill LIMIT 10)""",
+          SELECT skill, count(*) AS n FROM asked WHERE role = 'priority' GROUP BY skill)""",
     "job_postings": """SELECT record_id, title, role, city, company, major, salary_min, salary_max, CAST(posted_on AS VARCHAR) AS posted_on
         FROM posting WHERE role = 'priority' AND major = 'MACHINERY'
           AND record_id IN (SELECT record_id FROM job_skill WHERE skill = 'rod')
