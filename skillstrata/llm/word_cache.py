@@ -4,23 +4,50 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count, islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from skillstrata.llm.bpe import gather
 
-KEPT_WORDS = 1 << 19  # words remembered before starting anew; memory only, never results
+# Remembered before starting anew; memory only, never results.
+KEPT_WORDS, KEPT_UNITS = 1 << 18, 1 << 19
 _blank_run = re.compile(r"[ \n]+")
+# Letters that have one lower-case letter each, and punctuation behind them.
+_plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&()]*)")
+
+
+class Remembered:
+    """Numbers given to strings, and the ids of each, one after another."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int64)
+
+    def new(self) -> list[str]:
+        """Strings numbered since ids were last added."""
+        return list(islice(self.number, len(self.sizes), None))
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = np.r_[self.ids, ids], np.r_[self.sizes, sizes]
+
+    def of(self, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of strings: all ids, and how many each run has. ``lengths`` are the runs' strings."""
+        sizes = self.sizes[numbers]
+        starts = (np.cumsum(self.sizes) - self.sizes)[numbers]
+        ends, bounds = np.r_[0, np.cumsum(sizes)], np.r_[0, np.cumsum(lengths)]
+        return gather(self.ids, starts, sizes), ends[bounds[1:]] - ends[bounds[:-1]]
 
 
 class WordCache:
     """Ids of texts for tokenizers that drop white space and cut words at it.
 
     Such a tokenizer gives a text the ids of its words between blanks and line feeds, one
-    after another. ``splits_at_blanks`` tells whether a tokenizer file is of this kind; texts
-    go through the library whole where it is not.
+    after another. One that lower-cases and cuts between letters and punctuation as well gives
+    a plain word the ids of its lower-case letters and those of its punctuation. Both are probed
+    on the tokenizer itself; where it is not so, words or whole texts go through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -28,46 +55,51 @@ class WordCache:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.by_word = self.splits_at_blanks()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: defaultdict[str, int] = defaultdict(count().__next__)
-        self.ids = np.zeros(0, np.int32)
-        self.sizes = np.zeros(0, np.int64)
+        self.by_word, self.by_unit = self._splits_at_blanks(), self._splits_punctuation()
+        self.words, self.units = Remembered(), Remembered()
 
-    def splits_at_blanks(self) -> bool:
-        """Whether blanks leave no trace: probed on words of several kinds, alone and side by side."""
-        words = ["a", "Ab", "it's", "12", "é", "é", "́", "-", "'s", "<|x|>", "ß", "中"]
+    def _splits_at_blanks(self) -> bool:
+        words = ["a", "Ab", "it's", "12", "é", "é", "́", "-", "'s", "<|x|>", "ß", "中"]
         alone = [i for w in words for i in self._encode([w])[0]]
         return all(self._encode([blank.join(words)])[0] == alone for blank in (" ", "\n", "  \n "))
 
+    def _splits_punctuation(self) -> bool:
+        samples = [_plain.fullmatch(w) for w in ("a.", "Word,", "ÉTÉ;:", "Straße!?", "ÿ|", "iN#*", "s$%", "T&", "re(", "ll)", "D", "ÀÿÖ...")]
+        return all(self._encode([m[0]])[0] == self._encode([m[1].lower()])[0] + self._encode([m[2]])[0] for m in samples)
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
         if not self.by_word:
-            found = self._encode(texts)
-            sizes = np.array([len(ids) for ids in found], np.int64)
-            return np.array([i for ids in found for i in ids], np.int32), sizes
-        if len(self.number) > KEPT_WORDS:
-            self._forget()
+            return _flat(self._encode(texts))
+        if len(self.words.number) > KEPT_WORDS:
+            self.words = Remembered()
+        if len(self.units.number) > KEPT_UNITS:
+            self.units = Remembered()
         plans = []
         for text in texts:
             words = _blank_run.split(text) if "  " in text else text.replace("\n", " ").split(" ")
-            plans.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+            plans.append(np.fromiter(map(self.words.number.__getitem__, words), np.int64, len(words)))
         self._learn()
-        word = np.concatenate(plans)
-        starts = np.cumsum(self.sizes) - self.sizes
-        ends = np.r_[0, np.cumsum(self.sizes[word])]
-        bounds = np.r_[0, np.cumsum([len(p) for p in plans])]
-        return gather(self.ids, starts[word], self.sizes[word]), ends[bounds[1:]] - ends[bounds[:-1]]
+        return self.words.of(np.concatenate(plans), np.array([len(p) for p in plans]))
 
     def _learn(self) -> None:
-        words = list(self.number)[len(self.sizes) :]
-        if words:
-            found = self._encode(words)
-            sizes = np.array([len(ids) for ids in found], np.int64)
-            self.ids = np.r_[self.ids, np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))]
-            self.sizes = np.r_[self.sizes, sizes]
+        words = self.words.new()
+        if not words:
+            return
+        if not self.by_unit:
+            self.words.add(*_flat(self._encode(words)))
+            return
+        cut = map(_plain.fullmatch, words)
+        units = [(m[1].lower(), m[2]) if m else (w, "") for m, w in zip(cut, words, strict=True)]
+        numbers = np.fromiter(map(self.units.number.__getitem__, chain.from_iterable(units)), np.int64, 2 * len(units))
+        if new := self.units.new():
+            self.units.add(*_flat(self._encode(new)))
+        self.words.add(*self.units.of(numbers, np.full(len(units), 2)))
+
+
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(ids) for ids in found], np.int64)
+    return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
