@@ -17,11 +17,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillstrata.llm.common import pieces, stored, texts_of, without
+from skillstrata.llm.membership import bit_table, may_hold
 
 FIELD = b"<*>"
 LEADING = 3
@@ -55,12 +58,14 @@ def leaf_id(tokens: list[bytes]) -> int:
     return int.from_bytes(blake2b(key, digest_size=8).digest(), "little", signed=True)
 
 
-def _lines(docs: DataFrame, rules: Rules, with_tokens: bool) -> DataFrame:
-    """``(doc, line, leaf)`` for each different line of a row, with its masked text if asked for."""
+def _lines(docs: DataFrame, rules: Rules, leaves: Broadcast | None = None) -> DataFrame:
+    """``(doc, line, leaf)`` for each different line of a row; given a bit table of leaves, the lines
+    of these alone, with their masked text."""
+    with_tokens = leaves is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE_BYTES):
-            rows, ids, leaves, texts = [], [], [], []
+            rows, ids, at, texts = [], [], [], []
             for row, text in enumerate(texts_of(piece, "text")):
                 seen = set()
                 for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
@@ -69,12 +74,15 @@ def _lines(docs: DataFrame, rules: Rules, with_tokens: bool) -> DataFrame:
                         seen.add(name)
                         rows.append(row)
                         ids.append(name)
-                        leaves.append(leaf_id(tokens))
+                        at.append(leaf_id(tokens))
                         texts.append(b" ".join(tokens) if with_tokens else None)
-            columns = {"doc": piece.column(0).take(pa.array(rows, pa.int64())), "line": pa.array(ids, pa.binary()), "leaf": pa.array(leaves, pa.int64())}
+            columns = {"doc": piece.column(0).take(pa.array(rows, pa.int64())), "line": pa.array(ids, pa.binary()), "leaf": pa.array(at, pa.int64())}
             if with_tokens:
                 columns["masked"] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+            found = pa.RecordBatch.from_pydict(columns)
+            if with_tokens:
+                found = found.filter(pa.array(may_hold(leaves.value, np.array(at, np.int64))))
+            yield found
 
     kind = dict(docs.dtypes)["doc"]
     return docs.mapInArrow(run, f"doc {kind}, line binary, leaf long" + ", masked string" * with_tokens)
@@ -82,15 +90,16 @@ def _lines(docs: DataFrame, rules: Rules, with_tokens: bool) -> DataFrame:
 
 def recurring(docs: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """All lines ``(doc, line, leaf)``, and ``(line, first)`` for those of recurring templates."""
-    lines = stored(_lines(docs, rules, False), "lines")
+    lines = stored(_lines(docs, rules), "lines")
     kinds = stored(lines.groupBy("line", "leaf").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first")), "kinds")
     alone = kinds.where(F.col("n") >= rules.min_docs).select("line", "first")
 
     # Leaves in which several lines may have one template; all their lines, as tokens with places.
     leaves = kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds"))
-    leaves = leaves.where((F.col("docs") >= rules.min_docs) & (F.col("kinds") > 1)).select("leaf")
+    leaves = stored(leaves.where((F.col("docs") >= rules.min_docs) & (F.col("kinds") > 1)).select("leaf"), "leaves")
     several = stored(kinds.join(leaves, "leaf", "left_semi").select("line", "leaf", "n"), "several")
-    texts = _lines(docs, rules, True).join(several.select("line", "n"), "line").groupBy("line", "leaf", "n").agg(F.first("masked").alias("masked"))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(leaves, F.col("leaf")))
+    texts = _lines(docs, rules, table).groupBy("line", "leaf").agg(F.first("masked").alias("masked")).join(several, ["line", "leaf"])
     tokens = stored(texts.select("line", "leaf", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")), "tokens")
     fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= rules.min_docs)
     fixed = stored(fixed.select("leaf", "at", "token", F.lit(True).alias("fixed")), "fixed")
@@ -123,7 +132,13 @@ def drop_templates(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id"
     lines, known = recurring(docs, rules)
     gone = lines.join(known, "line").where(~F.col("doc").eqNullSafe(F.col("first")))
     gone = stored(gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone")), "gone")
-    rows = df.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    # Only rows that may lose lines move to meet the list of them.
+    table = df.sparkSession.sparkContext.broadcast(bit_table(gone, F.xxhash64("_doc")))
+    losing = _filtered(df, id_col, table, True).join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    whole = _filtered(df, id_col, table, False).withColumns(
+        {"n_lines": F.coalesce(breaks + 1, F.lit(0)).cast("long"), "n_dropped": F.lit(0).cast("long")}
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_col, PIECE_BYTES):
@@ -143,7 +158,20 @@ def drop_templates(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id"
             yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return rows.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
+    return losing.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long").unionByName(whole)
+
+
+def _filtered(df: DataFrame, id_col: str, table: Broadcast, held: bool) -> DataFrame:
+    """Rows whose hashed id the bit table holds, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("_gone")
+            kept = batch.filter(pa.array(may_hold(table.value, batch.column(at).to_numpy()) == held))
+            yield kept.drop_columns(["_gone"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.withColumn("_gone", F.xxhash64(id_col)).mapInArrow(run, kinds)
 
 
 def has_words(text: str | Column) -> Column:
