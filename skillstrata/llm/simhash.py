@@ -36,7 +36,7 @@ SHINGLE = 3
 SEED = 42
 BLOCK = 256  # members of a block that are compared with each other; larger blocks are cut on
 WORDS_AT_ONCE = 1 << 18
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 # Cost of filing one key against that of comparing one pair.
 KEY_COST, PAIR_COST = 20.0, 1.0
 
@@ -274,6 +274,19 @@ def links(prints: DataFrame) -> DataFrame:
         rows = stored(again.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).distinct(), "rows")
 
 
+def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, digest, fp, group, component_id)`` of each row; a group is named by its smallest fingerprint."""
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    docs = stored(fingerprints(rows), "prints")
+    prints = stored(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    root = components(links(prints.select("fp"))).withColumnRenamed("node", "fp")
+    named = prints.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    # Stored, so that both sides of the last join are dealt out for it and a hot fingerprint can be split.
+    labels = stored(named.select("fp", "group").join(least, "group"), "labels")
+    return docs.join(labels, "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, ``fingerprint`` and ``component_id``, the smallest id its links reach, its own included.
 
@@ -282,26 +295,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     only a group without any id has component NULL. An empty table gives an empty one. Only
     the two columns named are read, so others may have any name.
     """
-    docs = stored(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "prints")
-    prints = stored(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    root = components(links(prints.select("fp")))
-    least = prints.join(root, F.col("fp") == F.col("node"))
-    least = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = root.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # Stored, so that both sides of the last join are dealt out for it and a hot fingerprint can be split.
-    labels = stored(labels, "labels")
-    return docs.join(labels, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return _labelled(df, id_col, text_col).select(F.col("id").alias(id_col), fingerprint.alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one text for each group of near duplicates: that with the smallest id, ties by text.
+    """One row of each group of near duplicates, all columns kept: that with the smallest id, NULL last.
 
-    All columns are kept. Rows that are equal in id and text are one row's copies; one stays.
+    Of texts under one id the one with the smallest hash stays; of rows equal in id and text any.
     """
-    labels = near_duplicates(df, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_least")).distinct()
-    first = labels.where(F.col("_id").eqNullSafe(F.col("_least"))).select("_id")
-    kept = df.join(first, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    place = ["group", "id", "digest"]
+    rows = _labelled(df, id_col, text_col).groupBy(*place).agg(F.count("*").alias("n"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest", "n")).alias("first"))
+    first = stored(first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "first")
+    kept = df.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_digest")))
+    several = kept.where("_n > 1").dropDuplicates(["_id", "_digest"])
+    return kept.where("_n = 1").unionByName(several).select([F.col(f"`{c}`") for c in df.columns])
