@@ -30,8 +30,8 @@ from skillstrata.llm.common import pieces, texts_of, without
 # The word pattern of byte-level tokenizers.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-STRETCH_BYTES = 8 << 20
-KEPT_CHUNKS = 1 << 19  # chunks a worker remembers before it starts anew; memory only, never results
+STRETCH_BYTES = 4 << 20
+KEPT_CHUNKS = 1 << 18  # chunks a worker remembers before it starts anew; memory only, never results
 
 _words = regex.compile(WORD_PATTERN)
 _inner_blank = re.compile(r"\s \s")
@@ -243,6 +243,29 @@ def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, text_col: str) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(tokenizer)
+    for piece in pieces(batches, text_col, STRETCH_BYTES):
+        ids, sizes = encoder.encode(texts_of(piece, text_col))
+        columns = dict(zip(piece.schema.names, piece.columns, strict=True))
+        columns.pop(text_col)
+        yield pa.RecordBatch.from_pydict({**columns, "n_tokens": pa.array(sizes), "ids": packed(ids.astype("<u4"), sizes)})
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokenizer: str, text_col: str) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(tokenizer)
+    for piece in pieces(batches, "ids", STRETCH_BYTES):
+        texts = []
+        for value in piece.column(piece.schema.get_field_index("ids")):
+            ids = np.frombuffer(value.as_buffer(), "<u4") if value.is_valid else np.zeros(0, "<u4")
+            texts.append(gather(v.bytes, v.starts[ids], v.lengths[ids]).tobytes().decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*piece.schema.names, text_col])
+
+
+def _fields(df: DataFrame, *left_out: str) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name not in left_out)
+
+
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """Every row without its text, with ``n_tokens long`` and ``ids binary``.
 
@@ -252,17 +275,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     texts have no ids. Input columns named ``n_tokens`` or ``ids`` are replaced.
     """
     df = without(df, "n_tokens", "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for piece in pieces(batches, text_col, STRETCH_BYTES):
-            ids, sizes = encoder.encode(texts_of(piece, text_col))
-            columns = dict(zip(piece.schema.names, piece.columns, strict=True))
-            columns.pop(text_col)
-            yield pa.RecordBatch.from_pydict({**columns, "n_tokens": pa.array(sizes), "ids": packed(ids.astype("<u4"), sizes)})
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != text_col)
-    return df.mapInArrow(run, f"{fields}n_tokens long, ids binary")
+    return df.mapInArrow(lambda batches: _encoded(batches, tokenizer, text_col), f"{_fields(df, text_col)}n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -270,15 +283,14 @@ def decode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     are no UTF-8 become the replacement character. NULL ids give an empty text. An input
     column named as the text column is replaced."""
     df = without(df, text_col)
+    return df.mapInArrow(lambda batches: _decoded(batches, tokenizer, text_col), f"{_fields(df)}`{text_col}` string")
+
+
+def encode_and_decode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass: ids, and the text they decode to in place of the text."""
+    df = without(df, "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(tokenizer)
-        for piece in pieces(batches, "ids", STRETCH_BYTES):
-            texts = []
-            for value in piece.column(piece.schema.get_field_index("ids")):
-                ids = np.frombuffer(value.as_buffer(), "<u4") if value.is_valid else np.zeros(0, "<u4")
-                texts.append(gather(v.bytes, v.starts[ids], v.lengths[ids]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*piece.schema.names, text_col])
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
-    return df.mapInArrow(run, f"{fields}`{text_col}` string")
+        return _decoded(_encoded(batches, tokenizer, text_col), tokenizer, text_col)
+
+    return df.mapInArrow(run, f"{_fields(df, text_col)}n_tokens long, ids binary, `{text_col}` string")

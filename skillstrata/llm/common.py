@@ -63,6 +63,8 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterator
                 start, size = row + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+        # What the last batch took goes back to the system: workers live on beside other stages.
+        pa.default_memory_pool().release_unused()
 
 
 def workers_find_package(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 BASE_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, covered_words long, base_failed boolean, kept boolean"
 
