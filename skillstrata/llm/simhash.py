@@ -15,7 +15,7 @@ some part; a threshold of -1 leaves its part out. So:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations, repeat
 from math import comb
@@ -299,13 +299,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _labelled(df, id_col, text_col).select(F.col("id").alias(id_col), fingerprint.alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: Callable[[DataFrame, str, str], DataFrame] = _labelled) -> DataFrame:
     """One row of each group of near duplicates, all columns kept: that with the smallest id, NULL last.
 
+    ``labelled`` tells the groups, as ``(id, digest, group)`` of each row; by default those of the fingerprints.
     Of texts under one id the one with the smallest hash stays; of rows equal in id and text any.
     """
     place = ["group", "id", "digest"]
-    rows = _labelled(df, id_col, text_col).groupBy(*place).agg(F.count("*").alias("n"))
+    rows = labelled(df, id_col, text_col).groupBy(*place).agg(F.count("*").alias("n"))
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest", "n")).alias("first"))
     first = stored(first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "first")
     kept = df.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_digest")))
