@@ -1,9 +1,9 @@
 """Line dedup with a log-template tree (operator 5).
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the LEADING first tokens.
-Tokens that hold a digit are variable fields from the start (``<*>``). In a leaf, a token
-that fewer than ``min_docs`` documents have at its place is a variable field as well, so lines
-that differ there fall under one template. A template found in ``min_docs`` or more documents
+Tokens that hold a digit are variable fields from the start (``<*>``). In a leaf, lines that are
+much alike fall under one template: places that hold many different tokens are variable fields
+as well, in a large corpus as in a small one. A template found in ``min_docs`` or more documents
 recurs, and its lines are dropped from all documents but the first.
 
 The tree is a set of keys, not a structure in memory: leaves and places are counted by
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -100,24 +101,57 @@ def recurring(docs: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     several = stored(kinds.join(leaves, "leaf", "left_semi").select("line", "leaf", "n"), "several")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(leaves, F.col("leaf")))
     texts = _lines(docs, rules, table).groupBy("line", "leaf").agg(F.first("masked").alias("masked")).join(several, ["line", "leaf"])
-    tokens = stored(texts.select("line", "leaf", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")), "tokens")
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= rules.min_docs)
-    fixed = stored(fixed.select("leaf", "at", "token", F.lit(True).alias("fixed")), "fixed")
-    placed = tokens.join(fixed, ["leaf", "at", "token"], "left")
-    token = F.when(F.col("fixed"), F.col("token"))
-    # A list of one line's tokens.
-    shapes = placed.groupBy("line", "leaf").agg(F.count("*").alias("length"), F.count("fixed").alias("n_fixed"), F.sort_array(F.collect_list(F.struct("at", token.alias("token")))).alias("tokens"))
-    shapes = shapes.where(
-        (F.col("n_fixed") < F.col("length")) & (F.col("n_fixed") >= rules.min_fixed) & (100 * F.col("n_fixed") >= rules.min_fixed_percent * F.col("length"))
-    )
-    named = F.transform("tokens", lambda t: F.coalesce(t["token"], F.lit("\x00")))
-    shapes = stored(shapes.select("line", F.md5(F.array_join(F.concat(F.array(F.col("leaf").cast("string")), named), " ")).alias("template")), "shapes")
+    tokens = stored(texts.select("line", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")), "tokens")
+    shapes = _shapes(tokens, several.select("line", F.col("leaf").cast("string").alias("group")), rules)
     found = lines.join(shapes, "line").groupBy("template").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first"))
     found = stored(found.where(F.col("n") >= rules.min_docs).select("template", "first"), "templates")
     general = shapes.join(found, "template").select("line", "first")
     return lines, stored(alone.unionByName(general).groupBy("line").agg(F.min("first").alias("first")), "recurring")
 
 
+def _shapes(tokens: DataFrame, groups: DataFrame, rules: Rules) -> DataFrame:
+    """``(line, template)`` for the lines that have one.
+
+    A group begins as a leaf. Of each place its prevailing token is fixed, if at least half and
+    ``min_docs`` have it; places without one, or with ``min_docs`` or more different tokens, are
+    variable, however common each token is.
+    Lines that differ from the fixed tokens in variable places alone, and in few enough, are the
+    group's template. The rest is searched again; a group without such lines is first cut by the
+    tokens of its most even place.
+    """
+    found = []
+    while True:
+        own = tokens.join(groups, "line")
+        values = own.groupBy("group", "at", "token").agg(F.sum("n").alias("docs"))
+        docs = F.col("docs").cast("decimal(18,0)")
+        places = values.groupBy("group", "at").agg(
+            F.count("*").alias("values"), F.sum("docs").alias("total"), F.max(F.struct("docs", "token")).alias("top"), F.sum(docs * docs).alias("even")
+        )
+        prevailing = F.when((F.col("top.docs") >= rules.min_docs) & (2 * F.col("top.docs") >= F.col("total")), F.col("top.token"))
+        places = stored(places.select("group", "at", "values", "even", prevailing.alias("fixed")), "places")
+        same = F.coalesce(F.col("token") == F.col("fixed"), F.lit(False))
+        judged = own.join(places, ["group", "at"]).groupBy("group", "line").agg(
+            F.count("*").alias("length"),
+            F.count_if(same).alias("n_fixed"),
+            F.count_if(~same & (F.col("values") < rules.min_docs) & F.col("fixed").isNotNull()).alias("n_other"),
+        )
+        fits = (F.col("n_other") == 0) & (F.col("n_fixed") >= rules.min_fixed) & (100 * F.col("n_fixed") >= rules.min_fixed_percent * F.col("length"))
+        judged = stored(judged.select("group", "line", fits.alias("fits")), "judged")
+        found.append(judged.where("fits").select("line", F.col("group").alias("template")))
+        served = judged.where("fits").select("group").distinct().withColumn("served", F.lit(True))
+        best = places.where("values > 1").groupBy("group").agg(F.max_by("at", F.struct("even", -F.col("at"))).alias("at"))
+        left = judged.where(~F.col("fits")).join(served, "group", "left")
+        rest = left.where("served").select("line", F.md5(F.concat_ws(" ", "group", F.lit("rest"))).alias("group"))
+        cut = left.where("served is null").join(best, "group").join(tokens, ["line", "at"])
+        cut = cut.select("line", F.md5(F.concat_ws(" ", "group", "at", "token")).alias("group"))
+        again = stored(rest.unionByName(cut), "again")
+        sizes = again.join(tokens.where("at = 0").select("line", "n"), "line").groupBy("group").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds"))
+        open_ = sizes.where((F.col("docs") >= rules.min_docs) & (F.col("kinds") > 1)).select("group")
+        groups = stored(again.join(open_, "group", "left_semi"), "groups")
+        if groups.isEmpty():
+            return stored(reduce(DataFrame.unionByName, found), "shapes")
+
+
 def drop_templates(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with ``text_col`` less its lines of recurring templates, and ``n_lines``, ``n_dropped``.
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from skillstrata.llm import shingle_sets
+from skillstrata.llm import line_templates, shingle_sets
 
 
 def shingles_by_force(text: str | None) -> frozenset:
@@ -60,3 +60,15 @@ def test_near_dedup_stage_of_odd_rows(llm_spark, odd, none):
     kept = corpus_pipeline.near_dedup(llm_spark, odd, "")
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6]
     assert corpus_pipeline.near_dedup(llm_spark, none, "").count() == 0
+
+
+@pytest.mark.parametrize("size", [100, 3000])
+def test_templates_with_common_values_at_any_size(llm_spark, size):
+    """Two fields of few values each, beside lines of the same length and beginning that stay."""
+    rng = random.Random(size)
+    names, other = [f"name{c}{d}" for c in "abcdefgh" for d in "abcde"], [f"{c}{d}{e}" for c in "klmno" for d in "aeiou" for e in "pqrst"]
+    own = {k: " ".join(["Posted on the", *rng.choices(other, k=7), f"own{'x' * k}" if k < 3 else rng.choice(other)]) for k in range(0, size, 5)}
+    rows = [(k, f"Posted on the wall by {rng.choice(names)} for {rng.choice(names)} in the forum" + f"\n{own.get(k)}" * (k in own)) for k in range(size)]
+    got = {r.doc_id: r.text for r in line_templates.drop_templates(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, text in got.items() if "forum" in text] == [0]
+    assert all(line in got[k] for k, line in own.items())
