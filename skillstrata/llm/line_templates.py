@@ -1,7 +1,8 @@
 """Line dedup with a log-template tree (operator 5).
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the LEADING first tokens.
-Tokens that hold a digit are variable fields from the start (``<*>``). In a leaf, lines that are
+Tokens that hold a digit are variable fields from the start (``<*>``) in lines that are words for
+at least half; rows of numbers recur only as they are. In a leaf, lines that are
 much alike fall under one template: places that hold many different tokens are variable fields
 as well, in a large corpus as in a small one. A template found in ``min_docs`` or more documents
 recurs, and its lines are dropped from all documents but the first.
@@ -31,6 +32,7 @@ FIELD = b"<*>"
 LEADING = 3
 PIECE_BYTES = 4 << 20
 _digit = re.compile(rb"\d")
+_letter = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 @dataclass(frozen=True)
@@ -45,9 +47,13 @@ class Rules:
 
 
 def masked(line: bytes) -> list[bytes]:
-    """Tokens of a line, those with a digit as FIELD."""
+    """Tokens of a line, those with a digit as FIELD; where under half of them are words without a
+    digit, as in rows of numbers, the tokens as they are."""
     tokens = line.split()
-    return [FIELD if _digit.search(t) else t for t in tokens] if _digit.search(line) else tokens
+    if not _digit.search(line):
+        return tokens
+    fields = [FIELD if _digit.search(t) else t for t in tokens]
+    return fields if 2 * sum(1 for t in fields if _letter.search(t)) >= len(fields) else tokens
 
 
 def line_id(tokens: list[bytes]) -> bytes:
@@ -132,7 +138,7 @@ def _shapes(tokens: DataFrame, groups: DataFrame, rules: Rules) -> DataFrame:
         same = F.coalesce(F.col("token") == F.col("fixed"), F.lit(False))
         judged = own.join(places, ["group", "at"]).groupBy("group", "line").agg(
             F.count("*").alias("length"),
-            F.count_if(same).alias("n_fixed"),
+            F.count_if(same & (F.col("token") != FIELD.decode()) & ~F.col("token").rlike("[0-9]")).alias("n_fixed"),
             F.count_if(~same & (F.col("values") < rules.min_docs) & F.col("fixed").isNotNull()).alias("n_other"),
         )
         fits = (F.col("n_other") == 0) & (F.col("n_fixed") >= rules.min_fixed) & (100 * F.col("n_fixed") >= rules.min_fixed_percent * F.col("length"))

@@ -72,3 +72,11 @@ def test_templates_with_common_values_at_any_size(llm_spark, size):
     got = {r.doc_id: r.text for r in line_templates.drop_templates(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [k for k, text in got.items() if "forum" in text] == [0]
     assert all(line in got[k] for k, line in own.items())
+
+
+def test_rows_of_numbers_stay(llm_spark):
+    """Different rows of numbers and code are data; equal ones recur, and so do lines of words with numbers."""
+    rows = [(k, f"{k} {k + 1} {k * k}\nx{k} = y{k} + z{k + 2}\n1 2 3\n{k} 0 0 0 0 0 0 0 {k + 9} 0\nUpdated at {k} by staff") for k in range(6)]
+    got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_templates(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1].split("\n")
+    assert all(got[k] == [line for i, line in enumerate(rows[k][1].split("\n")) if i in (0, 1, 3)] for k in range(1, 6))
