@@ -33,6 +33,10 @@ LEADING = 3
 PIECE_BYTES = 4 << 20
 _digit = re.compile(rb"\d")
 _letter = re.compile(rb"[A-Za-z\x80-\xff]")
+# Scripts written without blanks: Thai, Lao, Tibetan, Burmese, Khmer, Japanese, Chinese.
+_scripts = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_unspaced = re.compile(f"[{_scripts}]")
+_unspaced_tokens = re.compile(rf"[{_scripts}]|[^\x20\x09-\x0D{_scripts}]+")
 
 
 @dataclass(frozen=True)
@@ -47,9 +51,11 @@ class Rules:
 
 
 def masked(line: bytes) -> list[bytes]:
-    """Tokens of a line, those with a digit as FIELD; where under half of them are words without a
+    """Tokens of a line, each character one in scripts without blanks, those with a digit as FIELD; where under half of them are words without a
     digit, as in rows of numbers, the tokens as they are."""
     tokens = line.split()
+    if not line.isascii() and _unspaced.search(text := line.decode("utf-8", "surrogatepass")):
+        tokens = [t.encode("utf-8", "surrogatepass") for t in _unspaced_tokens.findall(text)]
     if not _digit.search(line):
         return tokens
     fields = [FIELD if _digit.search(t) else t for t in tokens]

@@ -80,3 +80,11 @@ def test_rows_of_numbers_stay(llm_spark):
     got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_templates(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == rows[0][1].split("\n")
     assert all(got[k] == [line for i, line in enumerate(rows[k][1].split("\n")) if i in (0, 1, 3)] for k in range(1, 6))
+
+
+def test_recurring_lines_without_blanks(llm_spark):
+    """A line of a script without blanks is judged by its characters."""
+    rows = [(k, f"第{'甲乙丙丁'[k]}篇文章的正文\n本网站版权所有未经许可不得转载\nสงวนลิขสิทธิ์ตามกฎหมาย") for k in range(4)]
+    got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_templates(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1].split("\n")
+    assert all("版权" not in line and "สงวน" not in line for k in range(1, 4) for line in got[k])
