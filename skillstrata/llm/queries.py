@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillstrata.llm import ball_tree, bpe, licenses, line_templates, mixing, simhash, suffix_quality, surrogates, token_files, url_rules
-from skillstrata.llm.common import table
+from skillstrata.llm import (
+    alignment,
+    ball_tree,
+    bpe,
+    licenses,
+    line_templates,
+    merkle,
+    mixing,
+    simhash,
+    substrings,
+    suffix_quality,
+    surrogates,
+    token_files,
+    url_rules,
+)
+from skillstrata.llm.common import stored, table
 from skillstrata.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +93,41 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    altered = F.when(tampered, merkle.leaf_of(text=F.translate("text", UPPER, LOWER))).otherwise(merkle.leaf_of())
+    ranked = merkle.leaves(documents, altered=altered)
+    manifest = merkle.build(ranked)
+    proved = manifest.prove(ranked.select("group", "rank", "doc_id", F.col("digest").alias("leaf"), "altered"))
+    folded = proved.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.col("altered"), F.col("path")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    aligned = stored(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links"), "aligned")
+    found = alignment.scored(aligned, *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -90,6 +139,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_rules": op8_url_rules,
     "op9_quality_rules": op9_quality_rules,
     "op10_top_k": op10_top_k,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 OP8_SQL = r"""
