@@ -20,6 +20,7 @@ from skillstrata.operators import analytics, gold, graph, quality, relate, serve
 from skillstrata.operators.clean import dedup_audit, valid_rows
 from skillstrata.plans import lake_build
 from skillstrata.session import build_session
+from skillstrata.sources import files
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -49,13 +50,15 @@ def main() -> None:
     lake = postings.Lake(spark, SF_DIR)
     drain(postings.table(spark, SF_DIR, "orders"))
 
-    raw = postings.posting_raw(spark, SF_DIR)
+    raw = files.with_posting_key(postings.posting_raw(spark, SF_DIR))
     seconds = {
         "build_bronze": timed(lambda: lake_build.write_bronze(spark, raw, lake.root, postings.BATCH_ID)),
         "build_silver": timed(lambda: lake_build.write_silver(spark, lake.root, lake.dicts)),
         "build_gold": timed(lambda: lake_build.write_gold(spark, lake.root)),
         "build_graph": timed(lambda: lake.graph),
+        "build_counts": timed(lambda: lake.counts),
     }
+    counts = lake.counts
     p, js, bronze = lake.p, lake.js, lake.bronze
     headline: dict[str, Callable[[], DataFrame]] = {
         "dedup_audit": lambda: dedup_audit(valid_rows(bronze), lake.dicts.source_priority),
@@ -67,11 +70,11 @@ def main() -> None:
         "postings_with_skill": lambda: relate.postings_with_skill(p, js),
         "having_all_skills": lambda: relate.having_all_skills(p, js, catalog.WANTED_SKILLS[:2]),
         "edge_counts": lambda: graph.edge_counts(lake.graph[1]),
-        "role_skills": lambda: serve.role_skills(p, top_n=20),
-        "role_city_skills": lambda: serve.role_city_skills(p, top_n=5),
+        "role_skills": lambda: serve.role_skills(counts, top_n=20),
+        "role_city_skills": lambda: serve.role_city_skills(counts, top_n=5),
         "job_postings": lambda: serve.job_postings(p, catalog.ROLE, None, catalog.SKILL, None),
-        "role_subgraph": lambda: serve.role_subgraph(p, catalog.ROLE),
-        "search": lambda: serve.search(lake.graph[0], catalog.SEARCH_TEXT),
+        "role_subgraph": lambda: serve.role_subgraph(counts, catalog.ROLE),
+        "search": lambda: lake.names.search(spark, catalog.SEARCH_TEXT),
         "role_trend": lambda: trends.role_trend(p),
         "skill_trend": lambda: trends.skill_trend(p),
         "skill_cooccurrence": lambda: analytics.skill_cooccurrence(p),

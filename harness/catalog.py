@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, TimestampNTZType, TimestampType
 
-from harness.postings import BATCH_ID, SOURCES, Lake, lake, skill_aliases, table
+from harness.postings import BATCH_ID, GOLD_BUCKETS, SOURCES, Lake, lake, read_platforms, skill_aliases, table
 from skillstrata.functions.skills import SKILL_SCHEMA, TOKEN, SkillAlias
 from skillstrata.operators import analytics, clean, gold, graph, quality, relate, serve, trends
-from skillstrata.plans import lake_build, refresh
+from skillstrata.plans import lake_build, maintain
 from skillstrata.session import scratch
-from skillstrata.sources import files, graph_files, relational, warehouse
+from skillstrata.sources import files, graph_files, graph_store, relational, warehouse
 from skillstrata.sources import lake as layers
 from skillstrata.streaming import postings as streams
 from skillstrata.streaming import sinks
@@ -25,23 +25,16 @@ ROLE, OTHER_CITY, CITY, SKILL, MAJOR = "priority", "NATION_7", "NATION_3", "rod"
 WANTED_SKILLS = ["rod", "bolt", "blue gizmo"]
 KNOWN_SKILLS = ["rod", "red plate"]
 SEARCH_TEXT = "an"
-RECORD_ID = "1000"
+RECORD_ID = "src_c:998"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.004, 0.05
 PAGERANK_STEPS = 6
-FILES_PER_SOURCE = 2
+TEST_BUCKETS = 64  # of the fingerprint index
 
 # Words common in the documents; the first of a pair stands for the second.
 TOKENS = ("the", "and", "that", "que", "les", "der", "und", "los", "with", "en")
 HARD_TOKENS = ("apache license", "cc by-nc", "4.0", "and/or")
 TOKEN_ALIASES = (("le", "les"), ("la", "les"))
 
-# Each platform names its columns differently.
-HEADERS = {
-    "src_a": {"record_id": "id", "raw_title": "job", "raw_city": "place"},
-    "src_b": {"record_id": "no", "raw_title": "position", "company": "employer"},
-    "src_c": {"record_id": "key", "raw_city": "city_name", "salary_text": "pay", "description": "text"},
-}
-
 EVENT_SCHEMA = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
 
 
@@ -55,6 +48,7 @@ NULLABLE_NUMBERS = {
     "extract_experience": ("exp_min_years", "exp_max_years"),
     "upsert": SALARIES,
     "silver_posting": (*SALARIES, *REQUIREMENTS),
+    "silver_two_batches": (*SALARIES, *REQUIREMENTS),
     "stream_clean": (*SALARIES, *REQUIREMENTS),
     "job_postings": SALARIES,
     "job_posting_detail": (*SALARIES, *REQUIREMENTS),
@@ -87,49 +81,25 @@ def on_lake(build: Callable[[Lake], DataFrame]) -> Query:
 # --- sources and sinks ---------------------------------------------------------------
 
 
-def _platform_files(lk: Lake) -> dict[str, tuple[str, dict[str, str], str]]:
-    """Raw postings as CSV of each platform: path, renaming to common columns, schema."""
-    out = {}
-    raw = lk.bronze.select(*lake_build.RAW_COLUMNS)
-    for source in SOURCES:
-        names = HEADERS[source]
-        own = raw.filter(F.col("source") == source).drop("source")
-        renamed = own.select(*[F.col(c).alias(names.get(c, c)) for c in own.columns])
-        path = scratch(lk.spark, f"csv-{source}")
-        files.write_csv(renamed, path)
-        schema = ", ".join(f"`{c}` {'date' if c == 'posted_on' else 'string'}" for c in renamed.columns)
-        out[source] = (path, {v: k for k, v in names.items()}, schema)
-    return out
-
-
 def _read_platforms(lk: Lake) -> list[tuple[DataFrame, dict[str, str]]]:
-    return [
-        (files.read_source(lk.spark, f"{path}/*.csv", source, schema), names)
-        for source, (path, names, schema) in _platform_files(lk).items()
-    ]
+    return read_platforms(lk.spark, lk.files)
 
 
 def read_source(lk: Lake) -> DataFrame:
     parts = [
-        df.select(F.col(df.columns[0]).alias("record_id"), "source", "major", "req_text", "posted_on")
-        for df, _ in _read_platforms(lk)
+        df.withColumnsRenamed(names).select("source", *[c for c in lake_build.RAW_COLUMNS if c != "source"])
+        for df, names in _read_platforms(lk)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def fuse_sources(lk: Lake) -> DataFrame:
-    return files.fuse_sources(_read_platforms(lk)).select(*lake_build.RAW_COLUMNS)
+    return files.fuse_sources(_read_platforms(lk), keyed=True).select(*lake_build.RAW_COLUMNS)
 
 
 def file_census(lk: Lake) -> DataFrame:
     """Files and rows of each platform, every one written as ``FILES_PER_SOURCE`` files."""
-    parts = []
-    for source in SOURCES:
-        path = scratch(lk.spark, f"census-{source}")
-        own = lk.bronze.filter(F.col("source") == source).select("record_id", "raw_title")
-        files.write_csv(own.repartition(FILES_PER_SOURCE, "record_id"), path)
-        parts.append(files.read_source(lk.spark, f"{path}/*.csv", source, own.schema))
-    return files.file_census(reduce(DataFrame.unionByName, parts))
+    return plain(files.file_census(reduce(DataFrame.unionByName, [df.select("source", "source_file") for df, _ in _read_platforms(lk)])))
 
 
 def unified_csv_roundtrip(lk: Lake) -> DataFrame:
@@ -173,8 +143,8 @@ def jdbc_roundtrip(lk: Lake) -> DataFrame:
     counts = {"job_skill": F.lit(1), "skill_freq": F.col("postings"), "city_salary": F.col("n"), "role_demand": F.col("postings")}
     parts = []
     for name, keys in names.items():
-        relational.write_jdbc(lk.gold(name), url, name)
-        back = relational.read_jdbc(lk.spark, url, name)
+        relational.write_jdbc(lk.gold(name), url, name, shard_by=keys)
+        back = relational.read_jdbc(lk.spark, url, name, split_on=relational.SHARD)
         parts.append(
             back.select(
                 F.lit(name).alias("table_name"),
@@ -186,11 +156,14 @@ def jdbc_roundtrip(lk: Lake) -> DataFrame:
 
 
 def _graph_rows(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> DataFrame:
-    parts = [
-        t.select(F.lit(kind).alias("kind"), F.col("id").alias("src_id"), F.col("name").alias("dst_id"))
-        for kind, t in nodes.items()
-    ]
-    parts += [t.select(F.lit(kind).alias("kind"), "src_id", "dst_id") for kind, t in edges.items()]
+    """Every attribute of nodes and edges in one frame."""
+    wanted = {"role": "string", "city": "string", "posted_on": "string", "postings": "double"}
+
+    def rows(kind: str, t: DataFrame, src: str, dst: str) -> DataFrame:
+        rest = [(F.col(c) if c in t.columns else F.lit(None)).cast(form).alias(c) for c, form in wanted.items()]
+        return t.select(F.lit(kind).alias("kind"), F.col(src).alias("src_id"), F.col(dst).alias("dst_id"), *rest)
+
+    parts = [rows(kind, t, "id", "name") for kind, t in nodes.items()] + [rows(kind, t, "src_id", "dst_id") for kind, t in edges.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -205,13 +178,20 @@ def graph_export_roundtrip(lk: Lake) -> DataFrame:
 
 
 def graph_merge(lk: Lake) -> DataFrame:
-    """The same graph loaded twice into one that holds the first platform's part."""
-    first = lk.p.filter(F.col("source") == SOURCES[0])
-    old_nodes, old_edges = graph.build_nodes(first, gold.gold_job_skill(first)), graph.build_edges(first, gold.gold_job_skill(first))
+    """The exported graph loaded twice into a stored one that holds the first platform's part.
+
+    ``second_load`` is how many buckets the second load rewrote.
+    """
+    first, root = lk.p.filter(F.col("source") == SOURCES[0]), scratch(lk.spark, "graph-store")
+    js = gold.gold_job_skill(first)
+    graph_store.load(lk.spark, root, graph.build_nodes(first, js) | graph.build_edges(first, js), GOLD_BUCKETS)
     nodes, edges = lk.graph
-    for _ in range(2):
-        old_nodes, old_edges = graph.merge_graph(old_nodes, nodes), graph.merge_graph(old_edges, edges)
-    return _graph_rows(old_nodes, old_edges)
+    paths = graph_files.export_graph(nodes | edges, scratch(lk.spark, "graph"))
+    back = graph_files.read_graph(lk.spark, paths, nodes | edges)
+    rewritten = [sum(graph_store.load(lk.spark, root, back, GOLD_BUCKETS).values()) for _ in range(2)]
+    held = {kind: graph_store.stored(root, kind, t.schema, GOLD_BUCKETS).read(lk.spark) for kind, t in back.items()}
+    rows = _graph_rows({k: held[k] for k in nodes}, {k: held[k] for k in edges})
+    return rows.withColumn("second_load", F.lit(rewritten[1]).cast("long"))
 
 
 def dangling_edges(lk: Lake) -> DataFrame:
@@ -249,12 +229,14 @@ def extract_skills_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage(lk: Lake) -> DataFrame:
-    return clean.with_lineage(lk.bronze.drop("batch_id"), BATCH_ID).select("record_id", "source", "batch_id")
+    """Batch and file of each posting; of the file its folder, which is named after the platform."""
+    found = clean.with_lineage(lk.bronze.drop("batch_id"), BATCH_ID)
+    return found.select("record_id", "source", "batch_id", F.regexp_extract("source_file", "/([^/]+)/[^/]+$", 1).alias("source_folder"))
 
 
 def dedup(lk: Lake) -> DataFrame:
     kept = clean.dedup(clean.valid_rows(lk.bronze), lk.dicts.source_priority)
-    return kept.select("record_id", "source", "raw_title", "company", "fingerprint")
+    return kept.select(*lake_build.RAW_COLUMNS, "fingerprint")
 
 
 def dedup_audit(lk: Lake) -> DataFrame:
@@ -268,22 +250,56 @@ def upsert(lk: Lake) -> DataFrame:
     return relate.upsert(rows.filter(F.col("source") != SOURCES[2]), batch, ["record_id"])
 
 
+def _split_batches(lk: Lake) -> tuple[DataFrame, DataFrame]:
+    """Raw postings in two batches, copies and their originals apart, so that either may come first."""
+    raw = lk.bronze.select(*lake_build.RAW_COLUMNS)
+    number = F.regexp_extract("record_id", ":(-?[0-9]+)", 1).cast("long")
+    later = ((number % 4) < 2) != F.col("record_id").endswith("-d")
+    return raw.where(~later), raw.where(later)
+
+
+def silver_two_batches(lk: Lake) -> DataFrame:
+    """Silver after two batches, the second of which repeats and replaces postings of the first."""
+    root = scratch(lk.spark, "batches")
+    for number, batch in enumerate(_split_batches(lk)):
+        lake_build.add_batch(lk.spark, batch, lk.dicts, root, f"batch-{number}", n_buckets=TEST_BUCKETS, gold_buckets=GOLD_BUCKETS)
+    return lake_build.silver_by_month(root, "posting").read(lk.spark)
+
+
+def all_gold(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every column of the four Gold tables in one frame, numbers as DOUBLE."""
+    keys = {"job_skill": ("record_id", "skill"), "skill_freq": ("skill",), "city_salary": ("city",), "role_demand": ("role",)}
+    measures = ("postings", "share", "rank", "n", "salary_min", "salary_max", "mean_mid", "median_mid", "companies", "cities")
+    parts = []
+    for name, df in tables.items():
+        key = [F.col(keys[name][0]).alias("key"), (F.col(keys[name][1]) if len(keys[name]) > 1 else F.lit(None).cast("string")).alias("skill")]
+        own = [(F.col(m) if m in df.columns else F.lit(None)).cast("double").alias(m) for m in measures]
+        parts.append(df.select(F.lit(name).alias("table_name"), *key, *own))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def gold_refresh(lk: Lake) -> DataFrame:
-    """Gold of two platforms brought up to date by a batch with the third's postings."""
+    """Gold after two batches: the second brings a platform, changes postings of the first and withdraws some."""
     root = scratch(lk.spark, "refresh")
-    late = F.col("source") == SOURCES[2]
-    parts = {"city_salary": refresh.salary_part, "job_skill": refresh.job_skill_part, "role_demand": refresh.role_part}
-    fresh = {}
-    for name, part in parts.items():
-        refresh.write_parts(lk.p.filter(~late), root, name, part)
-        fresh[name] = refresh.refresh_gold(lk.spark, root, name, lk.p.filter(late), lk.p, part)
-    results = {
-        "city_salary": gold.salary_figures(fresh["city_salary"]).select(F.col("city").alias("name"), "n", "mean_mid"),
-        "job_skill": fresh["job_skill"].groupBy(F.col("skill").alias("name")).agg(F.count("*").alias("n")),
-        "role_demand": fresh["role_demand"].groupBy(F.col("role").alias("name")).agg(F.sum("postings").alias("n")),
-    }
-    labelled = [df.select(F.lit(name).alias("table_name"), "*") for name, df in results.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
+    number = F.regexp_extract("record_id", ":(-?[0-9]+)", 1).cast("long")
+    early = lk.p.where(F.col("source") != SOURCES[2])
+    # As they were before: other role, city, company, salary, month and skills.
+    changed = early.where(number % 5 == 0)
+    before = changed.withColumns(
+        {
+            "role": F.lit("former role"),
+            "city": F.when(number % 2 == 0, "FORMER CITY").otherwise(F.col("city")),
+            "company": F.concat(F.lit("former "), "company"),
+            "salary_max": F.col("salary_max") + 100_000,
+            "posted_month": F.col("posted_month") - 1,
+            "skills": F.array_union(F.slice("skills", 1, 1), F.array(F.lit("former skill"))),
+        }
+    )
+    withdrawn = early.where(number % 7 == 0).withColumns({"record_id": F.concat("record_id", F.lit("-w")), "role": F.lit("withdrawn role")})
+    maintain.apply(lk.spark, root, early.where(number % 5 != 0).unionByName(before).unionByName(withdrawn), None, "batch-0", GOLD_BUCKETS)
+    came = lk.p.where(F.col("source") == SOURCES[2]).unionByName(changed)
+    maintain.apply(lk.spark, root, came, before.unionByName(withdrawn), "batch-1", GOLD_BUCKETS)
+    return all_gold(maintain.read_gold(lk.spark, root, GOLD_BUCKETS))
 
 
 # --- streams -------------------------------------------------------------------------
@@ -362,10 +378,9 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_rules(lk: Lake) -> DataFrame:
-    """Rules from one skill to another; on small tables longer ones are frequent too."""
-    rules = analytics.skill_rules(lk.p, MIN_SUPPORT, MIN_CONFIDENCE).filter(F.size("antecedent") == 1)
+    rules = analytics.skill_rules(lk.p, MIN_SUPPORT, MIN_CONFIDENCE)
     rounded = [F.round(c, 9).alias(c) for c in ("confidence", "lift", "support")]
-    return rules.select("antecedent", "consequent", *rounded)
+    return rules.select(F.sort_array("antecedent").alias("antecedent"), "consequent", *rounded)
 
 
 def skill_pagerank(lk: Lake) -> DataFrame:
@@ -435,7 +450,7 @@ QUERIES: dict[str, Query] = {
         lambda lk: relate.without_skill(lk.p, lk.js).select("record_id", "source", "role", "city")
     ),
     "upsert": on_lake(upsert),
-    "bronze": on_lake(lambda lk: lk.bronze.drop("source_file")),
+    "bronze": on_lake(lambda lk: lk.bronze.withColumn("source_folder", F.regexp_extract("source_file", "/([^/]+)/[^/]+$", 1)).drop("source_file")),
     "silver_posting": on_lake(lambda lk: lk.p.select(*lake_build.SILVER_COLUMNS)),
     "silver_text": on_lake(lambda lk: lk.text),
     "gold_job_skill": on_lake(lambda lk: gold.gold_job_skill(lk.p)),
@@ -443,7 +458,8 @@ QUERIES: dict[str, Query] = {
     "gold_city_salary": on_lake(lambda lk: gold.gold_city_salary(lk.p)),
     "gold_role_demand": on_lake(lambda lk: gold.gold_role_demand(lk.p)),
     "gold_refresh": on_lake(gold_refresh),
-    "quality_report": on_lake(lambda lk: quality.quality_report(clean.valid_rows(lk.bronze), lk.p)),
+    "silver_two_batches": on_lake(silver_two_batches),
+    "quality_report": on_lake(lambda lk: quality.quality_report(clean.valid_rows(lk.bronze), lk.p, lk.bronze)),
     "completeness": on_lake(lambda lk: quality.completeness(lk.bronze.select(*lake_build.RAW_COLUMNS))),
     "nodes_job_posting": on_lake(lambda lk: graph.nodes_job_posting(lk.p)),
     "nodes_job_role": on_lake(lambda lk: graph.nodes_job_role(lk.p)),
@@ -461,23 +477,23 @@ QUERIES: dict[str, Query] = {
     "edge_counts": on_lake(lambda lk: graph.edge_counts(lk.graph[1])),
     "graph_merge": on_lake(graph_merge),
     "dangling_edges": on_lake(dangling_edges),
-    "overview": on_lake(lambda lk: serve.overview(*lk.graph, lk.p, lk.js)),
-    "job_roles": on_lake(lambda lk: serve.job_roles(lk.p)),
-    "role_detail": on_lake(lambda lk: serve.role_detail(lk.p, ROLE)),
+    "overview": on_lake(lambda lk: serve.overview(*lk.graph, lk.counts, lk.counts)),
+    "job_roles": on_lake(lambda lk: serve.job_roles(lk.counts)),
+    "role_detail": on_lake(lambda lk: serve.role_detail(lk.counts, ROLE)),
     "job_postings": on_lake(lambda lk: serve.job_postings(lk.p, ROLE, None, SKILL, MAJOR, page=2)),
     "job_posting_detail": on_lake(lambda lk: serve.job_posting(lk.p, lk.text, RECORD_ID).drop("fingerprint")),
-    "skills": on_lake(lambda lk: serve.skills(lk.js)),
-    "cities": on_lake(lambda lk: serve.cities(lk.p)),
-    "majors": on_lake(lambda lk: serve.majors(lk.p)),
-    "role_skills": on_lake(lambda lk: serve.role_skills(lk.p, top_n=3)),
-    "skill_roles": on_lake(lambda lk: serve.skill_roles(lk.p)),
-    "city_skills": on_lake(lambda lk: serve.city_skills(lk.p, top_n=5)),
-    "role_cities": on_lake(lambda lk: serve.role_cities(lk.p)),
-    "role_city_skills": on_lake(lambda lk: serve.role_city_skills(lk.p)),
-    "major_roles": on_lake(lambda lk: serve.major_roles(lk.p)),
-    "role_subgraph": on_lake(lambda lk: serve.role_subgraph(lk.p, ROLE)),
-    "skill_graph": on_lake(lambda lk: serve.skill_graph(lk.p, SKILL)),
-    "search": on_lake(lambda lk: serve.search(lk.graph[0], SEARCH_TEXT, 50)),
+    "skills": on_lake(lambda lk: serve.skills(lk.counts)),
+    "cities": on_lake(lambda lk: serve.cities(lk.counts)),
+    "majors": on_lake(lambda lk: serve.majors(lk.counts)),
+    "role_skills": on_lake(lambda lk: serve.role_skills(lk.counts, top_n=3)),
+    "skill_roles": on_lake(lambda lk: serve.skill_roles(lk.counts)),
+    "city_skills": on_lake(lambda lk: serve.city_skills(lk.counts, top_n=5)),
+    "role_cities": on_lake(lambda lk: serve.role_cities(lk.counts)),
+    "role_city_skills": on_lake(lambda lk: serve.role_city_skills(lk.counts)),
+    "major_roles": on_lake(lambda lk: serve.major_roles(lk.counts)),
+    "role_subgraph": on_lake(lambda lk: serve.role_subgraph(lk.counts, ROLE)),
+    "skill_graph": on_lake(lambda lk: serve.skill_graph(lk.counts, SKILL)),
+    "search": on_lake(lambda lk: lk.names.search(lk.spark, SEARCH_TEXT)),
     "role_trend": on_lake(lambda lk: trends.role_trend(lk.p)),
     "skill_trend": on_lake(lambda lk: trends.skill_trend(lk.p)),
     "city_comparison": on_lake(lambda lk: trends.city_comparison(lk.p)),
@@ -495,7 +511,7 @@ QUERIES: dict[str, Query] = {
     "core_skills": on_lake(lambda lk: analytics.core_skills(analytics.skill_cooccurrence(lk.p))),
     "skill_pagerank": on_lake(skill_pagerank),
     "role_similarity": on_lake(lambda lk: analytics.role_similarity(lk.p)),
-    "recommend_skills": on_lake(lambda lk: analytics.recommend_skills(lk.p, ROLE, KNOWN_SKILLS)),
+    "recommend_skills": on_lake(lambda lk: analytics.recommend_skills(lk.counts, ROLE, KNOWN_SKILLS)),
     "demand_forecast": on_lake(demand_forecast),
 }
 QUERIES |= {name: as_double(QUERIES[name], columns) for name, columns in NULLABLE_NUMBERS.items()}

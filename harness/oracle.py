@@ -77,8 +77,8 @@ BASE = f"""WITH described AS (
   SELECT l_orderkey AS k, string_agg(DISTINCT p_name, '；' ORDER BY p_name) AS description
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
 ), posting_once AS (
-  SELECT o_orderkey AS ok, CAST(o_orderkey AS VARCHAR) AS record_id,
-    CASE o_orderstatus WHEN 'F' THEN 'src_a' WHEN 'O' THEN 'src_b' WHEN 'P' THEN 'src_c' END AS source,
+  SELECT o_orderkey AS ok, CASE o_orderstatus WHEN 'F' THEN 'src_a' WHEN 'O' THEN 'src_b' WHEN 'P' THEN 'src_c' END AS source,
+    source || ':' || CAST(o_orderkey - CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 0 END AS VARCHAR) AS record_id,
     o_orderpriority AS raw_title,
     CASE WHEN o_orderkey % 2 = 0 THEN n_name || '市' ELSE ' ' || lower(n_name) || '-x' END AS raw_city,
     c_name AS company, c_mktsegment AS major,
@@ -95,7 +95,7 @@ BASE = f"""WITH described AS (
 ), posting_raw AS (
   SELECT * EXCLUDE (ok) FROM posting_once
   UNION ALL
-  SELECT record_id || '-d', source, ' ' || lower(raw_title), raw_city, upper(company), major, salary_text, req_text,
+  SELECT source, record_id || '-d', ' ' || lower(raw_title), raw_city, upper(company), major, salary_text, req_text,
     description, posted_on
   FROM posting_once WHERE ok % 43 = 0
 ), bronze AS (
@@ -231,6 +231,25 @@ def pagerank(steps: int) -> str:
     return ", " + ", ".join(parts) + f" SELECT skill, round(rank, 9) AS rank FROM rank_{steps}"
 
 
+MAX_ITEMS = 8  # more skills than any posting of the given tables has
+
+
+def rules(min_support: float, min_confidence: float) -> str:
+    """Rules out of the counts of all sets of skills that some posting holds."""
+    steps = [", set1 AS (SELECT record_id, [skill] AS items, skill AS last FROM job_skill)"]
+    for k in range(1, MAX_ITEMS):
+        steps.append(f"set{k + 1} AS (SELECT record_id, list_append(items, skill) AS items, skill AS last FROM set{k} JOIN job_skill USING (record_id) WHERE skill > last)")
+    every = " UNION ALL ".join(f"SELECT items FROM set{k}" for k in range(1, MAX_ITEMS + 1))
+    steps.append(f"frequent AS (SELECT items, count(*) AS postings FROM ({every}) GROUP BY items HAVING count(*) >= ceil({min_support} * (SELECT n FROM total)))")
+    steps.append("split AS (SELECT items, postings, unnest(items) AS consequent FROM frequent WHERE len(items) > 1)")
+    steps.append("rule AS (SELECT list_filter(items, lambda x: x <> consequent) AS antecedent, consequent, postings FROM split)")
+    return ", ".join(steps) + f"""
+        SELECT array_to_string(antecedent, ',') AS antecedent, consequent, round(CAST(r.postings AS DOUBLE) / a.postings, 9) AS confidence,
+          round(CAST(r.postings AS DOUBLE) / a.postings / (b.postings / n), 9) AS lift, round(r.postings / n, 9) AS support
+        FROM rule r JOIN frequent a ON a.items = antecedent JOIN skill_freq b ON b.skill = consequent, total
+        WHERE CAST(r.postings AS DOUBLE) / a.postings >= {min_confidence}"""
+
+
 def forecast(source: str, key: str) -> str:
     """Least squares with zeros put in for the months that lack postings."""
     return f"""SELECT {key} AS name, CAST(h AS BIGINT) AS months_ahead,
@@ -253,9 +272,30 @@ def heat(size: int, starts: str) -> str:
 
 
 # Two-day windows that slide by one day start on every day.
+GRAPH_ROWS = """SELECT 'JobPosting' AS kind, record_id AS src_id, title AS dst_id, role, city, CAST(posted_on AS VARCHAR) AS posted_on,
+    CAST(NULL AS DOUBLE) AS postings FROM posting
+  UNION ALL SELECT kind, id, name, NULL, NULL, NULL, NULL FROM nodes WHERE kind <> 'JobPosting'
+  UNION ALL SELECT kind, src_id, dst_id, NULL, NULL, NULL, NULL FROM edges WHERE kind <> 'ROLE_REQUIRES_SKILL'
+  UNION ALL SELECT 'ROLE_REQUIRES_SKILL', md5('JobRole|' || role), md5('Skill|' || skill), NULL, NULL, NULL, count(*) FROM asked GROUP BY role, skill"""
+GOLD_MEASURES = ("postings", "share", "rank", "n", "salary_min", "salary_max", "mean_mid", "median_mid", "companies", "cities")
+
+
+def gold_rows(table: str, key: str, skill: str, own: str) -> str:
+    measures = ", ".join(f"CAST({m if m in own.split() else 'NULL'} AS DOUBLE) AS {m}" for m in GOLD_MEASURES)
+    return f"SELECT '{table}' AS table_name, {key} AS key, CAST({skill} AS VARCHAR) AS skill, {measures} FROM {table}"
+
+
+ALL_GOLD = " UNION ALL ".join(
+    [
+        gold_rows("job_skill", "record_id", "skill", ""),
+        gold_rows("skill_freq", "skill", "NULL", "postings share rank"),
+        gold_rows("city_salary", "city", "NULL", "n salary_min salary_max mean_mid median_mid"),
+        gold_rows("role_demand", "role", "NULL", "postings share companies cities"),
+    ]
+)
 EVENT_DAY = "date_trunc('day', ts)"
 FROM_BASE = {
-    "read_source": "SELECT record_id, source, major, req_text, CAST(posted_on AS VARCHAR) AS posted_on FROM posting_raw",
+    "read_source": f"SELECT * REPLACE (split_part(record_id, ':', 2) AS record_id) FROM ({RAW_ALL})",
     "file_census": "SELECT source, CAST(2 AS BIGINT) AS files, count(*) AS rows FROM posting_raw GROUP BY source",
     "fuse_sources": RAW_ALL,
     "unified_csv_roundtrip": RAW_ALL,
@@ -268,10 +308,8 @@ FROM_BASE = {
         UNION ALL SELECT 'skill_freq', skill, postings FROM skill_freq
         UNION ALL SELECT 'city_salary', city, n FROM city_salary
         UNION ALL SELECT 'role_demand', role, postings FROM role_demand""",
-    "graph_export_roundtrip": """SELECT kind, id AS src_id, name AS dst_id FROM nodes
-        UNION ALL SELECT kind, src_id, dst_id FROM edges""",
-    "graph_merge": """SELECT kind, id AS src_id, name AS dst_id FROM nodes
-        UNION ALL SELECT kind, src_id, dst_id FROM edges""",
+    "graph_export_roundtrip": f"SELECT * FROM ({GRAPH_ROWS})",
+    "graph_merge": f"SELECT *, CAST(0 AS BIGINT) AS second_load FROM ({GRAPH_ROWS})",
     "dangling_edges": """, part AS (SELECT * FROM posting WHERE source = 'src_a'), part_node AS (
           SELECT record_id AS id FROM part UNION ALL SELECT md5('JobRole|' || role) FROM part
           UNION ALL SELECT md5('City|' || city) FROM part UNION ALL SELECT md5('Company|' || company) FROM part
@@ -279,7 +317,7 @@ FROM_BASE = {
           UNION ALL SELECT md5('Skill|' || skill) FROM asked WHERE source = 'src_a')
         SELECT kind, 'src_id' AS missing_end, src_id, dst_id FROM edges WHERE src_id NOT IN (SELECT id FROM part_node)
         UNION ALL SELECT kind, 'dst_id', src_id, dst_id FROM edges WHERE dst_id NOT IN (SELECT id FROM part_node)""",
-    "run_summary": f"SELECT (SELECT count(*) FROM posting_raw) AS rows_collected, {COVERAGE} FROM {COVERED}",
+    "run_summary": f"SELECT (SELECT count(*) FROM posting_raw) AS rows_collected, CAST(6 AS BIGINT) AS files, {COVERAGE} FROM {COVERED}",
     "valid_rows": "SELECT record_id, source, raw_title, company FROM valid",
     "standardize_role": f"SELECT record_id, raw_title, {ROLE_OF} AS role FROM posting_raw",
     "standardize_city": f"SELECT record_id, raw_city, {CITY_OF} AS city FROM posting_raw",
@@ -290,9 +328,9 @@ FROM_BASE = {
     "extract_experience": f"""SELECT record_id, req_text, {EXP_MIN_OF} AS exp_min_years, {EXP_MAX_OF} AS exp_max_years
         FROM posting_raw""",
     "extract_skills_phrase": "SELECT record_id, coalesce(skills, '') AS skills FROM posting_raw LEFT JOIN skill_list USING (record_id)",
-    "lineage": "SELECT record_id, source, batch_id FROM bronze",
+    "lineage": "SELECT record_id, source, batch_id, source AS source_folder FROM bronze",
     "fingerprint": "SELECT record_id, fingerprint FROM bronze",
-    "dedup": "SELECT record_id, source, raw_title, company, fingerprint FROM survivor",
+    "dedup": f"SELECT {RAW}, CAST(posted_on AS VARCHAR) AS posted_on, fingerprint FROM survivor",
     "dedup_audit": """SELECT v.source, count(*) AS rows_before, count(s.record_id) AS rows_after,
         count(*) - count(s.record_id) AS rows_removed
         FROM valid v LEFT JOIN survivor s USING (record_id) GROUP BY GROUPING SETS ((v.source), ())""",
@@ -305,17 +343,16 @@ FROM_BASE = {
     "postings_without_skill": "SELECT record_id, source, role, city FROM posting ANTI JOIN job_skill USING (record_id)",
     "upsert": """SELECT record_id, source, role, salary_min, CASE WHEN source = 'src_a' THEN salary_max ELSE salary_max + 1000 END AS salary_max
         FROM posting""",
-    "bronze": f"SELECT {RAW}, CAST(posted_on AS VARCHAR) AS posted_on, batch_id, fingerprint FROM bronze",
+    "bronze": f"SELECT {RAW}, CAST(posted_on AS VARCHAR) AS posted_on, batch_id, fingerprint, source AS source_folder FROM bronze",
     "silver_posting": "SELECT * REPLACE (CAST(posted_on AS VARCHAR) AS posted_on) FROM posting",
+    "silver_two_batches": "SELECT * REPLACE (CAST(posted_on AS VARCHAR) AS posted_on) FROM posting",
     "silver_text": "SELECT * FROM posting_text",
     "gold_job_skill": "SELECT * FROM job_skill",
     "gold_skill_freq": "SELECT * FROM skill_freq",
     "gold_city_salary": "SELECT * FROM city_salary",
     "gold_role_demand": "SELECT * FROM role_demand",
-    "gold_refresh": """SELECT 'city_salary' AS table_name, city AS name, n, mean_mid FROM city_salary
-        UNION ALL SELECT 'job_skill', skill, postings, CAST(NULL AS DOUBLE) FROM skill_freq
-        UNION ALL SELECT 'role_demand', role, postings, CAST(NULL AS DOUBLE) FROM role_demand""",
-    "quality_report": f"SELECT source, {COVERAGE} FROM {COVERED} GROUP BY GROUPING SETS ((source), ())",
+    "gold_refresh": ALL_GOLD,
+    "quality_report": f"SELECT source, CAST(if(source IS NULL, 6, 2) AS BIGINT) AS files, {COVERAGE} FROM {COVERED} GROUP BY GROUPING SETS ((source), ())",
     "completeness": completeness(),
     "nodes_job_posting": "SELECT record_id AS id, title AS name, role, city, CAST(posted_on AS VARCHAR) AS posted_on FROM posting",
     "nodes_job_role": nodes_of("JobRole"),
@@ -355,7 +392,7 @@ FROM_BASE = {
         ORDER BY posting.posted_on DESC, record_id LIMIT 20 OFFSET 20""",
     "job_posting_detail": """SELECT p.* EXCLUDE (fingerprint) REPLACE (CAST(posted_on AS VARCHAR) AS posted_on),
         raw_title, description, salary_text, req_text
-        FROM posting p JOIN posting_text t USING (record_id) WHERE record_id = '1000'""",
+        FROM posting p JOIN posting_text t USING (record_id) WHERE record_id = 'src_c:998'""",
     "skills": "SELECT skill, postings FROM skill_freq",
     "cities": "SELECT city, count(*) AS postings FROM posting GROUP BY city",
     "majors": "SELECT major, count(*) AS postings FROM posting GROUP BY major",
@@ -375,7 +412,7 @@ FROM_BASE = {
         UNION ALL SELECT 'Major', major, 'RELATED_TO_ROLE', 'JobRole', role, count(*) FROM asked WHERE skill = 'rod' GROUP BY major, role""",
     "search": """SELECT kind, id, name, CAST(match AS BIGINT) AS match FROM (
           SELECT *, CASE WHEN lower(name) = 'an' THEN 0 WHEN lower(name) LIKE 'an%' THEN 1 WHEN lower(name) LIKE '%an%' THEN 2 END AS match FROM nodes)
-        WHERE match IS NOT NULL ORDER BY match, name, kind, id LIMIT 50""",
+        WHERE match IS NOT NULL""",
     "role_trend": f"""SELECT role, {MONTH_NAME} AS month, postings, CAST(prior AS BIGINT) AS prior_postings, CAST(postings - prior AS BIGINT) AS change
         FROM (SELECT a.*, CASE WHEN a.m > min(a.m) OVER (PARTITION BY a.role) THEN coalesce(b.postings, 0) END AS prior
           FROM every_role a LEFT JOIN every_role b ON b.role = a.role AND b.m = a.m - 1)""",
@@ -397,11 +434,7 @@ FROM_BASE = {
         CAST(p.postings AS DOUBLE) / (a.postings + b.postings - p.postings) AS jaccard,
         CAST(p.postings AS DOUBLE) * (SELECT count(*) FROM posting) / (CAST(a.postings AS DOUBLE) * b.postings) AS lift
         FROM pair p JOIN skill_freq a ON a.skill = skill_a JOIN skill_freq b ON b.skill = skill_b""",
-    "skill_rules": """SELECT antecedent, consequent, round(CAST(p.postings AS DOUBLE) / a.postings, 9) AS confidence,
-        round(CAST(p.postings AS DOUBLE) / a.postings / (b.postings / n), 9) AS lift, round(p.postings / n, 9) AS support
-        FROM (SELECT skill AS antecedent, other AS consequent, postings FROM neighbour) p
-          JOIN skill_freq a ON a.skill = antecedent JOIN skill_freq b ON b.skill = consequent, total
-        WHERE p.postings >= ceil(0.004 * n) AND CAST(p.postings AS DOUBLE) / a.postings >= 0.05""",
+    "skill_rules": rules(0.004, 0.05),
     "core_skills": """SELECT skill, count(*) AS degree, CAST(sum(postings) AS BIGINT) AS weighted_degree
         FROM neighbour GROUP BY skill""",
     "skill_pagerank": pagerank(6),

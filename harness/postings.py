@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from skillstrata.dictionaries import Dictionaries, RoleRule
 from skillstrata.functions.skills import PHRASE, SkillAlias
-from skillstrata.plans import lake_build
+from skillstrata.operators.counts import Counts
+from skillstrata.operators.name_index import NameIndex
+from skillstrata.plans import lake_build, maintain
 from skillstrata.session import scratch
+from skillstrata.sources import files
 from skillstrata.sources.lake import BRONZE, GOLD, SILVER, read_layer
 
 BATCH_ID = "batch-1"
 SOURCES = ("src_a", "src_b", "src_c")
 LIST_SEPARATOR = "；"
+GOLD_BUCKETS = 8
 
 # Part names are an adjective and a noun. Those in AGE_WORDS stand for the plain noun, which
 # is itself an alias inside every other name.
@@ -92,8 +96,10 @@ def posting_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.lit(None).cast("string")
     for status, name in zip("FOP", SOURCES, strict=True):
         source = F.when(F.col("o_orderstatus") == status, F.lit(name)).otherwise(source)
+    # Platforms number their postings for themselves, so one number is found on several.
+    shift = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0)
     postings = orders.select(
-        k.cast("string").alias("record_id"),
+        (k - shift).cast("string").alias("record_id"),
         source.alias("source"),
         F.col("o_orderpriority").alias("raw_title"),
         F.when(k % 2 == 0, F.concat("n_name", F.lit("市")))
@@ -124,6 +130,34 @@ def posting_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FILES_PER_SOURCE = 2
+# Each platform names its columns differently.
+HEADERS = {
+    "src_a": {"record_id": "id", "raw_title": "job", "raw_city": "place"},
+    "src_b": {"record_id": "no", "raw_title": "position", "company": "employer"},
+    "src_c": {"record_id": "key", "raw_city": "city_name", "salary_text": "pay", "description": "text"},
+}
+PlatformFiles = dict[str, tuple[str, dict[str, str], str]]
+
+
+def write_platforms(raw: DataFrame, root: str) -> PlatformFiles:
+    """Raw postings as CSV of each platform, ``FILES_PER_SOURCE`` files each: path, renaming to common columns, schema."""
+    out = {}
+    for source in SOURCES:
+        names = HEADERS[source]
+        own = raw.filter(F.col("source") == source).select(*[c for c in lake_build.RAW_COLUMNS if c != "source"])
+        renamed = own.select(*[F.col(c).alias(names.get(c, c)) for c in own.columns])
+        path = f"{root}/{source}"
+        files.write_csv(renamed.repartition(FILES_PER_SOURCE, renamed.columns[0]), path)
+        schema = ", ".join(f"`{c}` {'date' if c == 'posted_on' else 'string'}" for c in renamed.columns)
+        out[source] = (path, {v: k for k, v in names.items()}, schema)
+    return out
+
+
+def read_platforms(spark: SparkSession, platforms: PlatformFiles) -> list[tuple[DataFrame, dict[str, str]]]:
+    return [(files.read_source(spark, f"{path}/*.csv", source, schema), names) for source, (path, names, schema) in platforms.items()]
+
+
 class Lake:
     """Layers built from one folder of tables."""
 
@@ -133,7 +167,11 @@ class Lake:
         self.dicts = dictionaries(spark, sf_dir)
 
     def build(self) -> Lake:
-        lake_build.build_lake(self.spark, posting_raw(self.spark, self.sf_dir), self.dicts, self.root, BATCH_ID)
+        raw = posting_raw(self.spark, self.sf_dir).cache()
+        self.files = write_platforms(raw, f"{self.root}/platforms")
+        raw.unpersist()
+        fused = files.fuse_sources(read_platforms(self.spark, self.files), keyed=True)
+        lake_build.build_lake(self.spark, fused, self.dicts, self.root, BATCH_ID)
         return self
 
     def _read(self, layer: str, name: str) -> DataFrame:
@@ -158,12 +196,23 @@ class Lake:
     def gold(self, name: str) -> DataFrame:
         return self._read(GOLD, name)
 
+    @cached_property
+    def counts(self) -> Counts:
+        """The cube of counts, brought up from Silver when first asked for."""
+        maintain.apply(self.spark, self.root, self.p, None, BATCH_ID, GOLD_BUCKETS)
+        return maintain.read_counts(self.spark, self.root, n_buckets=GOLD_BUCKETS)
+
     @cached_property
     def graph(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         """Node and edge tables, written when first asked for."""
         lake_build.write_graph(self.spark, self.root)
         return lake_build.read_graph(self.spark, self.root)
 
+    @cached_property
+    def names(self) -> NameIndex:
+        """The index of node names, written when first asked for."""
+        return NameIndex(f"{self.root}/{GOLD}/names", GOLD_BUCKETS).build(self.graph[0])
+
 
 _lakes: dict[tuple[str, str], Lake] = {}
 

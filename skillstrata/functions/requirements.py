@@ -57,6 +57,13 @@ def education_level(clean: Column, levels: Sequence[EducationLevel] = EDUCATION_
     return at
 
 
+def with_digits(clean: Column) -> Column:
+    """Numbers up to 99 that are written in characters, as digits: 三年 is 3年, 十五年 is 15年."""
+    digits = F.translate(F.replace(clean, F.lit("两年"), F.lit("二年")), "一二三四五六七八九", "123456789")
+    tens = F.regexp_replace(F.regexp_replace(digits, "([1-9])十([1-9])", "$1$2"), "([1-9])十", "$10")
+    return F.regexp_replace(F.regexp_replace(tens, "十([1-9])", "1$1"), "十", "10")
+
+
 def years(clean: Column, wanted: YearsPattern, group: int = 1) -> Column:
     """A number of years out of normalised text."""
     found = F.nullif(F.regexp_extract(clean, wanted.pattern, group), F.lit("")).try_cast("int")

@@ -27,6 +27,7 @@ PHRASE, TOKEN = "phrase", "token"
 SKILL_SCHEMA = "alias string, skill string, mode string"
 
 # A word: Latin letters and digits, with + and # anywhere and . only inside.
+GRAM = 3
 LETTER = r"[\p{IsLatin}0-9+#]"
 WORD_PATTERN = rf"{LETTER}+(?:\.{LETTER}+)*"
 WORD_START = rf"(?<!{LETTER})(?<!{LETTER}\.)"
@@ -102,52 +103,94 @@ def skills_in(text: Column, aliases: Sequence[SkillAlias]) -> Column:
     return F.sort_array(F.array_distinct(F.concat(*found))) if found else _no_skills()
 
 
+def file_aliases(dictionary: DataFrame) -> DataFrame:
+    """``(gram, offset, pre, post, alias, mode, skill)``: each alias under its rarest gram of GRAM characters.
+
+    Rare means shared by few other aliases, so no gram gathers many. ``pre`` and ``post`` are the
+    alias's characters next to the gram, at most GRAM on each side. A shorter alias is its own gram.
+    """
+    aliases = dictionary.where(F.length("alias") > 0).groupBy("alias", "mode").agg(F.min("skill").alias("skill"))
+    long = aliases.where(F.length("alias") >= GRAM)
+    starts = F.sequence(F.lit(0), F.length("alias") - GRAM)
+    cut = long.select("alias", "mode", F.explode(starts).alias("offset")).withColumn("gram", F.substr("alias", F.col("offset") + 1, F.lit(GRAM)))
+    shared = cut.groupBy("gram").agg(F.count("*").alias("aliases"))
+    best = cut.join(shared, "gram").groupBy("alias", "mode").agg(F.min(F.struct("aliases", "gram", "offset")).alias("best"))
+    at = F.col("best.offset")
+    filed = long.join(best, ["alias", "mode"]).select(
+        "best.gram",
+        at.alias("offset"),
+        F.substr("alias", F.greatest(at - GRAM, F.lit(0)) + 1, F.least(at, F.lit(GRAM))).alias("pre"),
+        F.substr("alias", at + GRAM + 1, F.lit(GRAM)).alias("post"),
+        "alias",
+        "mode",
+        "skill",
+    )
+    none = F.lit("")
+    short = aliases.where(F.length("alias") < GRAM).select(F.col("alias").alias("gram"), F.lit(0).alias("offset"), none.alias("pre"), none.alias("post"), "alias", "mode", "skill")
+    return filed.unionByName(short)
+
+
+def emit_grams(clean: DataFrame, key: str, heads: Sequence[str], short: Sequence[str]) -> DataFrame:
+    """``(key, at, gram, before, after)``: a row for each place of a text whose gram begins with one of ``heads``,
+    and one where a name of ``short`` stands, whatever lengths the aliases have.
+
+    ``clean`` has the text's characters in ``_chars``, as a place in a string is found by counting from its beginning.
+    """
+    size = F.size("_chars")
+
+    def places(length: int) -> Column:
+        return F.when(size >= length, F.sequence(F.lit(1), size - (length - 1))).otherwise(F.array().cast("array<int>"))
+
+    def part(at: Column, length: int) -> Column:
+        return F.concat(*[F.get("_chars", at + (k - 1)) for k in range(length)])
+
+    def row(at: Column, gram: Column, before: Column, after: Column) -> Column:
+        return F.struct(at.alias("at"), gram.alias("gram"), before.alias("before"), after.alias("after"))
+
+    def gram(at: Column) -> Column:
+        before = F.array_join(F.slice("_chars", F.greatest(at - GRAM, F.lit(1)), F.least(at - 1, F.lit(GRAM))), "")
+        return row(at, part(at, GRAM), before, F.array_join(F.slice("_chars", at + GRAM, F.lit(GRAM)), ""))
+
+    def names_of(length: int) -> Column:
+        own = [name for name in short if len(name) == length]
+        held = F.filter(places(length), lambda at: part(at, length).isin(own))
+        return F.transform(held, lambda at: row(at, part(at, length), F.lit(""), F.lit("")))
+
+    found = [F.transform(F.filter(places(GRAM), lambda at: part(at, 2).isin(list(heads))), gram)] if heads else []
+    found += map(names_of, sorted({len(name) for name in short}))
+    return clean.select(key, F.explode(F.array(*found)).alias("_rows")).select(key, F.inline("_rows"))
+
+
 def match_by_join(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, skills)`` for texts with at least one skill; ``key`` is unique.
 
-    Every substring with the length of some alias is joined to the dictionary on equality. Tokens
-    must stand between edges of words; then the longest-first rule is applied to the hits of
-    each text, which its length bounds.
+    Texts emit their grams once and meet the aliases filed under them by an equi join. The few
+    characters around a gram leave hardly any but true hits, which are gathered by text and verified in
+    place: the whole alias, and edges of words for tokens. Then the longest-first rule is applied.
     """
-    aliases = dictionary.groupBy("alias", "mode").agg(F.min("skill").alias("skill"))
-    # One number for each alias length and one string for each pair of letters an alias begins with:
-    # both are bounded by the alphabet, however large the dictionary is.
-    lengths = [r[0] for r in aliases.select(F.length("alias")).distinct().collect() if r[0]]
-    heads = [r[0] for r in aliases.select(F.substring("alias", 1, 2)).distinct().collect() if r[0]]
-    clean = texts.select(F.col(key), normalize(F.col(text)).alias("_clean")).withColumn("_chars", F.split("_clean", ""))
-
-    def windows(size: int) -> Column:
-        # Out of an array, as a place in a string is found by counting from its beginning.
-        def part(start: Column, length: Column) -> Column:
-            return F.array_join(F.slice("_chars", start, length), "")
-
-        def window(at: Column) -> Column:
-            start = F.greatest(at - 2, F.lit(1))
-            return F.struct(
-                at.alias("at"),
-                part(at, F.lit(size)).alias("alias"),
-                part(start, at - start).alias("before"),
-                part(at + size, F.lit(2)).alias("after"),
-            )
-
-        return F.transform(F.filter("_starts", lambda at: at <= F.size("_chars") - (size - 1)), window)
-
-    if not lengths:
+    filed = file_aliases(dictionary)
+    # Two letters that grams begin with, and aliases of one or two letters: bounded by the
+    # alphabet, however large the dictionary is.
+    bounds = filed.select(F.when(F.length("gram") < GRAM, F.col("gram")).otherwise(F.substring("gram", 1, 2)).alias("part"), (F.length("gram") < GRAM).alias("short"))
+    known = bounds.distinct().collect()
+    heads, short = [r.part for r in known if not r.short], [r.part for r in known if r.short]
+    clean = texts.select(F.col(key), normalize(F.col(text)).alias("_clean")).where(F.length("_clean") > 0)
+    clean = clean.select(key, F.split("_clean", "").alias("_chars"))
+    if not known:
         return clean.select(key, _no_skills().alias("skills")).limit(0)
-    singles, pairs = [h for h in heads if len(h) == 1], [h for h in heads if len(h) > 1]
-
-    def begins(char: Column, at: Column) -> Column:
-        pair = F.concat(char, F.coalesce(F.get("_chars", at + 1), F.lit("")))
-        return F.when(char.isin(singles) | pair.isin(pairs), at + 1)
-
-    clean = clean.withColumn("_starts", F.filter(F.transform("_chars", begins), lambda at: at.isNotNull()))
-    every = clean.select(key, F.explode(F.array(*map(windows, lengths))).alias("_windows")).select(key, F.inline("_windows"))
-    # No alias begins or ends with a blank: normalised names have none there.
-    every = every.filter(~F.col("alias").startswith(" ") & ~F.col("alias").endswith(" "))
-    inside_word = F.col("before").rlike(rf"{LETTER}\.?$") | F.col("after").rlike(rf"^\.?{LETTER}")
-    hits = every.join(aliases, "alias").filter((F.col("mode") == PHRASE) | ~inside_word)
-    hit = F.struct("at", (-F.length("alias")).alias("minus_size"), "skill")
-    by_text = hits.groupBy(key, "mode").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
+    met = emit_grams(clean, key, heads, short).join(filed, "gram")
+    met = met.where(F.col("before").endswith(F.col("pre")) & F.col("after").startswith(F.col("post")))
+    hit = F.struct((F.col("at") - F.col("offset")).alias("at"), (-F.length("alias")).alias("minus_size"), "alias", "skill", "mode")
+    by_text = met.groupBy(key).agg(F.sort_array(F.collect_list(hit)).alias("_hits")).join(clean, key)
+
+    def stands(hit: Column) -> Column:
+        at, size = hit["at"], -hit["minus_size"]
+        whole = F.array_join(F.slice("_chars", at, size), "") == hit["alias"]
+        start = F.greatest(at - 2, F.lit(1))
+        before, after = F.array_join(F.slice("_chars", start, at - start), ""), F.array_join(F.slice("_chars", at + size, F.lit(2)), "")
+        inside_word = before.rlike(rf"{LETTER}\.?$") | after.rlike(rf"^\.?{LETTER}")
+        return whole & ((hit["mode"] == PHRASE) | ~inside_word)
+
     start = F.struct(F.lit(0).alias("free"), _no_skills().alias("skills"))
 
     def take(state: Column, one: Column) -> Column:
@@ -155,5 +198,9 @@ def match_by_join(texts: DataFrame, dictionary: DataFrame, key: str, text: str)
         taken = F.struct(next_free.alias("free"), F.array_append(state["skills"], one["skill"]).alias("skills"))
         return F.when(one["at"] >= state["free"], taken).otherwise(state)
 
-    found = by_text.select(key, F.explode(F.aggregate("_hits", start, take)["skills"]).alias("skill"))
-    return found.groupBy(key).agg(F.sort_array(F.collect_set("skill")).alias("skills"))
+    def of(mode: str) -> Column:
+        return F.aggregate(F.filter("_true", lambda hit: hit["mode"] == mode), start, take)["skills"]
+
+    found = by_text.select(key, F.filter("_hits", stands).alias("_true"))
+    skills = F.sort_array(F.array_distinct(F.concat(of(PHRASE), of(TOKEN))))
+    return found.select(key, skills.alias("skills")).where(F.size("skills") > 0)

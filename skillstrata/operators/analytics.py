@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillstrata.functions.ranking import share_of_total
+from skillstrata.operators.counts import Counts, counted
 from skillstrata.operators.gold import posting_count
 from skillstrata.operators.graph import role_skill_counts
 from skillstrata.session import shared_root
@@ -136,20 +137,20 @@ def role_similarity(p: DataFrame) -> DataFrame:
     )
 
 
-def recommend_skills(p: DataFrame, role: str, known: Sequence[str] = (), top_n: int | None = None) -> DataFrame:
+def recommend_skills(p: DataFrame | Counts, role: str, known: Sequence[str] = (), top_n: int | None = None) -> DataFrame:
     """Skills to learn for a role, best first, without those already known; all or the ``top_n`` best.
 
     The score is the share of the role's postings that ask for the skill, times its lift over
-    all postings: common in the role, and more so than elsewhere.
+    all postings: common in the role, and more so than elsewhere. ``p`` is Silver or the cube of counts.
     """
-    own = p.filter(F.col("role") == role)
-    in_role = _skill_counts(own).withColumnRenamed("postings", "role_postings")
+    in_role = counted(p, "role", "skill").where(F.col("role") == role).select("skill", F.col("postings").alias("role_postings"))
     if known:
         in_role = in_role.filter(~F.col("skill").isin(list(known)))
-    share = share_of_total(F.col("role_postings"), posting_count(own))
-    overall = share_of_total(F.col("postings"), posting_count(p))
+    size = counted(p, "role").where(F.col("role") == role).select("postings")
+    share = share_of_total(F.col("role_postings"), size)
+    overall = share_of_total(F.col("postings"), counted(p).select("postings"))
     ranked = (
-        in_role.join(_skill_counts(p), "skill")
+        in_role.join(counted(p, "skill"), "skill")
         .select("skill", "role_postings", share.alias("share"), (share / overall).alias("lift"))
         .withColumn("score", F.col("share") * F.col("lift"))
         .orderBy(F.col("score").desc(), "skill")

@@ -108,14 +108,16 @@ def extract_experience(df: DataFrame) -> DataFrame:
     graduate = requirements.names_any(wanted, requirements.GRADUATE)
     anyone = requirements.names_any(wanted, requirements.OPEN_TO_ALL)
     low, high, least, most = (F.col(c) for c in ("_low", "_high", "_least", "_most"))
+    digits = F.col("_digits")
     return (
         df.withColumn("_wanted", text.normalize(F.col("req_text")))
+        .withColumn("_digits", requirements.with_digits(wanted))
         .withColumns(
             {
-                "_low": requirements.years(wanted, requirements.SPAN, 1),
-                "_high": requirements.years(wanted, requirements.SPAN, 2),
-                "_least": requirements.years(wanted, requirements.AT_LEAST),
-                "_most": requirements.years(wanted, requirements.AT_MOST),
+                "_low": requirements.years(digits, requirements.SPAN, 1),
+                "_high": requirements.years(digits, requirements.SPAN, 2),
+                "_least": requirements.years(digits, requirements.AT_LEAST),
+                "_most": requirements.years(digits, requirements.AT_MOST),
             }
         )
         .withColumns(
@@ -128,7 +130,7 @@ def extract_experience(df: DataFrame) -> DataFrame:
                 .when(least.isNull() & graduate, F.lit(0)),
             }
         )
-        .drop("_wanted", "_low", "_high", "_least", "_most")
+        .drop("_wanted", "_digits", "_low", "_high", "_least", "_most")
     )
 
 
@@ -169,19 +171,27 @@ def priority_of(source: Column, priority: Mapping[str, int]) -> Column:
 
 
 def dedup(df: DataFrame, priority: Mapping[str, int] | None = None) -> DataFrame:
-    """One row for each fingerprint: lowest source priority, then lowest record id.
+    """One row for each fingerprint: lowest source priority, then lowest record id, then source.
 
-    A minimum over whole rows, not a ranking window: each map task sends at most one row of
-    a fingerprint, however many copies there are.
+    Only what tells rows apart is grouped: fingerprints that occur more than once are found on
+    narrow columns, each map task sending one row of a fingerprint however many copies there
+    are, and the whole rows meet these alone. Of rows alike in all of that the first by the other
+    columns stays; equal ones are one before the shuffle.
     """
-    rest = [c for c in df.columns if c not in ("fingerprint", "record_id")]
-    ordered = F.struct(
-        priority_of(F.col("source"), priority or {}).alias("_priority"),
-        F.col("record_id"),
-        *[F.col(c) for c in rest],
+    place = F.struct(priority_of(F.col("source"), priority or {}).alias("priority"), "record_id", "source")
+    shared = (
+        df.groupBy("fingerprint", "record_id", "source")
+        .agg(F.count("*").alias("_same"))
+        .groupBy("fingerprint")
+        .agg(F.sum("_same").alias("_copies"), F.min(F.struct(place.alias("place"), F.col("_same").alias("alike"))).alias("_best"))
+        .where("_copies > 1")
+        .select("fingerprint", F.col("_best.place").alias("_place"), F.col("_best.alike").alias("_alike"))
     )
-    best = df.groupBy("fingerprint").agg(F.min(ordered).alias("_best"))
-    return best.select(*[F.col("fingerprint") if c == "fingerprint" else F.col(f"_best.{c}") for c in df.columns])
+    met = df.join(shared, "fingerprint", "left").where(F.col("_place").isNull() | F.col("_place").eqNullSafe(place))
+    others = [c for c in df.columns if c != "fingerprint"]
+    alike = met.where("_alike > 1").groupBy("fingerprint").agg(F.array_min(F.collect_set(F.struct(*others))).alias("_row"))
+    first = alike.select("fingerprint", "_row.*").select(df.columns)
+    return met.where("_alike is null or _alike = 1").select(df.columns).unionByName(first)
 
 
 def dedup_audit(raw: DataFrame, priority: Mapping[str, int] | None = None) -> DataFrame:

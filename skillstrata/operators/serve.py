@@ -1,5 +1,7 @@
 """Answers over Silver and Gold: lists, details, rankings, local graphs, search.
 
+Counts come from Silver's postings or from the stored cube of counts: ``p`` may be either.
+
 Where an operator takes a role, skill, city or major, leaving it out answers for all of them
 in one job. Lists and answers for one are ordered by postings, highest first, then by name.
 """
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from skillstrata.functions.ranking import top_per_group
 from skillstrata.functions.text import normalize
-from skillstrata.operators.graph import edge_counts, node_counts, posting_majors
+from skillstrata.operators.counts import Counts, counted, counted_majors
+from skillstrata.operators.graph import edge_counts, node_counts
 
 TOP_N = 20
 PAGE_SIZE = 20
@@ -31,14 +34,6 @@ def _only(df: DataFrame, **wanted: str | None) -> DataFrame:
     return df
 
 
-def _counted(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("postings"))
-
-
-def _with_skill(p: DataFrame, *cols: str) -> DataFrame:
-    return p.select(*cols, F.explode("skills").alias("skill"))
-
-
 def _top(df: DataFrame, section: str, name: str, value: str, order: Sequence[Column], top_n: int) -> DataFrame:
     best = df.orderBy(*order).limit(top_n)
     return best.select(
@@ -46,15 +41,15 @@ def _top(df: DataFrame, section: str, name: str, value: str, order: Sequence[Col
     )
 
 
-def _best(counted: DataFrame, one: bool, group: Sequence[str], order: Sequence[Column], top_n: int | None) -> DataFrame:
+def _best(found: DataFrame, one: bool, group: Sequence[str], order: Sequence[Column], top_n: int | None) -> DataFrame:
     """The first rows of each group or, in order, of the one group there is."""
     if not one:
-        return top_per_group(counted, group, order, top_n)
-    return counted.orderBy(*order) if top_n is None else counted.orderBy(*order).limit(top_n)
+        return top_per_group(found, group, order, top_n)
+    return found.orderBy(*order) if top_n is None else found.orderBy(*order).limit(top_n)
 
 
 def overview(
-    nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], p: DataFrame, js: DataFrame, top_n: int = 10
+    nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], p: DataFrame | Counts, js: DataFrame | Counts, top_n: int = 10
 ) -> DataFrame:
     """Node and edge counts, hot roles and hot skills as ``(section, name, value)``."""
     parts = [
@@ -66,23 +61,41 @@ def overview(
     return reduce(DataFrame.unionByName, parts)
 
 
-def job_roles(p: DataFrame) -> DataFrame:
+def job_roles(p: DataFrame | Counts) -> DataFrame:
     """Roles with their postings."""
-    return _counted(p, "role").orderBy(*_by_count("role"))
-
-
-def role_detail(p: DataFrame, role: str, top_n: int | None = None) -> DataFrame:
-    """Size, salaries and skills of one role, all or the top ones, as ``(section, name, value)``."""
-    own = _only(p, role=role)
-    middle = (F.col("salary_min") + F.col("salary_max")) / 2.0
-    figures = own.agg(
-        F.count("*").cast("double").alias("postings"),
-        F.count_distinct("company").cast("double").alias("companies"),
-        F.count_distinct("city").cast("double").alias("cities"),
+    return counted(p, "role").orderBy(*_by_count("role"))
+
+
+def _role_figures(p: DataFrame | Counts, role: str) -> DataFrame:
+    """One row about a role. The cube tells it from counts of the role's own cities and salary ranges."""
+    middle = ((F.col("salary_min") + F.col("salary_max")) / 2.0).cast("decimal(18,2)")
+    if not isinstance(p, Counts):
+        return _only(p, role=role).agg(
+            F.count("*").cast("double").alias("postings"),
+            F.count_distinct("company").cast("double").alias("companies"),
+            F.count_distinct("city").cast("double").alias("cities"),
+            F.min("salary_min").cast("double").alias("salary_min"),
+            F.max("salary_max").cast("double").alias("salary_max"),
+            (F.sum(middle).cast("double") / F.count("salary_min")).alias("salary_mean"),
+        )
+    if p.months is not None:
+        raise ValueError("companies and salary ranges are kept for all months together")
+    size = _only(p.of("role"), role=role).agg(F.coalesce(F.sum("postings"), F.lit(0)).cast("double").alias("postings"))
+    companies = _only(p.companies, role=role).agg(F.coalesce(F.sum("companies"), F.lit(0)).cast("double").alias("companies"))
+    cities = _only(p.of("role", "city"), role=role, city=None).agg(F.count("*").cast("double").alias("cities"))
+    salaries = _only(p.ranges, role=role).agg(
         F.min("salary_min").cast("double").alias("salary_min"),
         F.max("salary_max").cast("double").alias("salary_max"),
-        (F.sum(middle.cast("decimal(18,2)")).cast("double") / F.count("salary_min")).alias("salary_mean"),
+        (F.sum((middle * F.col("n")).cast("decimal(28,2)")).cast("double") / F.sum("n")).alias("salary_mean"),
     )
+    # Four frames of one row each, put side by side as scalars.
+    one = size.select("postings", companies.scalar().alias("companies"), cities.scalar().alias("cities"))
+    return one.select("*", *[salaries.select(c).scalar().alias(c) for c in salaries.columns])
+
+
+def role_detail(p: DataFrame | Counts, role: str, top_n: int | None = None) -> DataFrame:
+    """Size, salaries and skills of one role, all or the top ones, as ``(section, name, value)``."""
+    figures = _role_figures(p, role)
     summary = figures.unpivot([], figures.columns, "name", "value").select(F.lit("summary").alias("section"), "*")
     top = role_skills(p, role, top_n).select(
         F.lit("skills").alias("section"), F.col("skill").alias("name"), F.col("postings").cast("double").alias("value")
@@ -131,61 +144,62 @@ def job_posting(p: DataFrame, text: DataFrame, record_id: str) -> DataFrame:
     return own.join(_only(text, record_id=record_id), "record_id", "left")
 
 
-def skills(js: DataFrame) -> DataFrame:
-    """Skills with their postings."""
-    return _counted(js, "skill").orderBy(*_by_count("skill"))
+def skills(js: DataFrame | Counts) -> DataFrame:
+    """Skills with their postings, from the posting-skill relation or the cube."""
+    found = js.of("skill") if isinstance(js, Counts) else js.groupBy("skill").agg(F.count("*").alias("postings"))
+    return found.orderBy(*_by_count("skill"))
 
 
-def cities(p: DataFrame) -> DataFrame:
+def cities(p: DataFrame | Counts) -> DataFrame:
     """Cities with their postings."""
-    return _counted(_only(p, city=None), "city").orderBy(*_by_count("city"))
+    return _only(counted(p, "city"), city=None).orderBy(*_by_count("city"))
 
 
-def majors(p: DataFrame) -> DataFrame:
+def majors(p: DataFrame | Counts) -> DataFrame:
     """Majors with their postings."""
-    return _counted(_only(p, major=None), "major").orderBy(*_by_count("major"))
+    return _only(counted(p, "major"), major=None).orderBy(*_by_count("major"))
 
 
-def role_skills(p: DataFrame, role: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
+def role_skills(p: DataFrame | Counts, role: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
     """Top skills of each or one role."""
-    counted = _counted(_with_skill(_only(p, role=role), "role"), "role", "skill")
-    return _best(counted, role is not None, ["role"], _by_count("skill"), top_n)
+    found = _only(counted(p, "role", "skill"), role=role)
+    return _best(found, role is not None, ["role"], _by_count("skill"), top_n)
 
 
-def skill_roles(p: DataFrame, skill: str | None = None, top_n: int | None = None) -> DataFrame:
+def skill_roles(p: DataFrame | Counts, skill: str | None = None, top_n: int | None = None) -> DataFrame:
     """Roles that ask for each or one skill, all or those that ask most."""
-    counted = _counted(_only(_with_skill(_only(p, role=None), "role"), skill=skill), "skill", "role")
-    return _best(counted, skill is not None, ["skill"], _by_count("role"), top_n)
+    found = _only(counted(p, "skill", "role"), role=None, skill=skill)
+    return _best(found, skill is not None, ["skill"], _by_count("role"), top_n)
 
 
-def city_skills(p: DataFrame, city: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
+def city_skills(p: DataFrame | Counts, city: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
     """Top skills of each or one city."""
-    counted = _counted(_with_skill(_only(p, city=city), "city"), "city", "skill")
-    return _best(counted, city is not None, ["city"], _by_count("skill"), top_n)
+    found = _only(counted(p, "city", "skill"), city=city)
+    return _best(found, city is not None, ["city"], _by_count("skill"), top_n)
 
 
-def role_cities(p: DataFrame, role: str | None = None) -> DataFrame:
+def role_cities(p: DataFrame | Counts, role: str | None = None) -> DataFrame:
     """Cities of each or one role, with the share of the role's postings that have a city."""
-    counted = _counted(_only(p, role=role, city=None), "role", "city")
-    totals = counted.groupBy("role").agg(F.sum("postings").alias("_all"))
-    shares = counted.join(totals, "role").select(
+    found = _only(counted(p, "role", "city"), role=role, city=None)
+    totals = found.groupBy("role").agg(F.sum("postings").alias("_all"))
+    shares = found.join(totals, "role").select(
         "role", "city", "postings", (F.col("postings").cast("double") / F.col("_all")).alias("share")
     )
     return _best(shares, role is not None, ["role"], _by_count("city"), None)
 
 
 def role_city_skills(
-    p: DataFrame, role: str | None = None, city: str | None = None, top_n: int | None = None
+    p: DataFrame | Counts, role: str | None = None, city: str | None = None, top_n: int | None = None
 ) -> DataFrame:
     """Skills of each or one pair of role and city, all or the top ones."""
-    counted = _counted(_with_skill(_only(p, role=role, city=city), "role", "city"), "role", "city", "skill")
-    return _best(counted, role is not None and city is not None, ["role", "city"], _by_count("skill"), top_n)
+    found = _only(counted(p, "role", "city", "skill"), role=role, city=city)
+    return _best(found, role is not None and city is not None, ["role", "city"], _by_count("skill"), top_n)
 
 
-def major_roles(p: DataFrame, major: str | None = None, mapping: DataFrame | None = None) -> DataFrame:
+def major_roles(p: DataFrame | Counts, major: str | None = None, mapping: DataFrame | None = None) -> DataFrame:
     """Roles tied to each or one major."""
-    counted = _counted(_only(posting_majors(p, mapping), major=major, role=None), "major", "role")
-    return _best(counted, major is not None, ["major"], _by_count("role"), None)
+    found = _only(counted_majors(p, mapping, "role"), major=major, role=None)
+    return _best(found, major is not None, ["major"], _by_count("role"), None)
 
 
 def _edges(df: DataFrame, src_kind: str, src: str, rel: str, dst_kind: str, dst: str) -> DataFrame:
@@ -199,30 +213,32 @@ def _edges(df: DataFrame, src_kind: str, src: str, rel: str, dst_kind: str, dst:
     )
 
 
-def role_subgraph(p: DataFrame, role: str, top_n: int | None = None, mapping: DataFrame | None = None) -> DataFrame:
+def role_subgraph(p: DataFrame | Counts, role: str, top_n: int | None = None, mapping: DataFrame | None = None) -> DataFrame:
     """Edges from a role to skills, cities and majors, all or the ``top_n`` strongest of each kind."""
-    own = _only(p, role=role)
     parts = [
-        _edges(_counted(_with_skill(own, "role"), "role", "skill"), "JobRole", "role", "ROLE_REQUIRES_SKILL", "Skill", "skill"),
-        _edges(_counted(_only(own, city=None), "role", "city"), "JobRole", "role", "LOCATED_IN", "City", "city"),
-        _edges(_counted(posting_majors(own, mapping), "role", "major"), "JobRole", "role", "RELATED_TO_MAJOR", "Major", "major"),
+        _edges(_only(counted(p, "role", "skill"), role=role), "JobRole", "role", "ROLE_REQUIRES_SKILL", "Skill", "skill"),
+        _edges(_only(counted(p, "role", "city"), role=role, city=None), "JobRole", "role", "LOCATED_IN", "City", "city"),
+        _edges(_only(counted_majors(p, mapping, "role"), role=role), "JobRole", "role", "RELATED_TO_MAJOR", "Major", "major"),
     ]
     every = reduce(DataFrame.unionByName, parts)
     return top_per_group(every, ["rel"], [F.col("weight").desc(), F.col("dst")], top_n)
 
 
 def skill_graph(
-    p: DataFrame, skill: str | None = None, top_n: int | None = None, mapping: DataFrame | None = None
+    p: DataFrame | Counts, skill: str | None = None, top_n: int | None = None, mapping: DataFrame | None = None
 ) -> DataFrame:
     """Role-skill and major-role edges, all or the ``top_n`` strongest of each kind.
 
     With a skill, only its own role edges and the majors of postings that ask for it.
     """
-    near = p if skill is None else p.filter(F.array_contains("skills", skill))
-    asked = _only(_with_skill(_only(near, role=None), "role"), skill=skill)
+    asked = _only(counted(p, "role", "skill"), role=None, skill=skill)
+    if skill is None:
+        taught = counted_majors(p, mapping, "role")
+    else:
+        taught = counted_majors(p, mapping, "role", "skill").where(F.col("skill") == skill).drop("skill")
     parts = [
-        _edges(_counted(asked, "role", "skill"), "JobRole", "role", "ROLE_REQUIRES_SKILL", "Skill", "skill"),
-        _edges(major_roles(near, None, mapping), "Major", "major", "RELATED_TO_ROLE", "JobRole", "role"),
+        _edges(asked, "JobRole", "role", "ROLE_REQUIRES_SKILL", "Skill", "skill"),
+        _edges(_only(taught, role=None), "Major", "major", "RELATED_TO_ROLE", "JobRole", "role"),
     ]
     every = reduce(DataFrame.unionByName, parts)
     return top_per_group(every, ["rel"], [F.col("weight").desc(), F.col("src"), F.col("dst")], top_n)

@@ -5,13 +5,19 @@ from __future__ import annotations
 from functools import partial
 from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skillstrata.dictionaries import Dictionaries
 from skillstrata.functions.text import is_filled, squeeze
 from skillstrata.operators import clean, gold, graph
-from skillstrata.sources.lake import BRONZE, GOLD, SILVER, at_once, read_layer, write_layer
+from skillstrata.plans import maintain
+from skillstrata.session import scratch
+from skillstrata.sources.buckets import BucketTable
+from skillstrata.sources.fingerprints import N_BUCKETS, add, against_index
+from skillstrata.sources.lake import BRONZE, GOLD, SILVER, at_once, layer_path, read_layer, write_layer
 
 RAW_COLUMNS = (
     "record_id",
@@ -45,6 +51,12 @@ SILVER_COLUMNS = (
     "posted_month",
     "fingerprint",
 )
+SILVER_TYPES = (
+    "record_id string, source string, title string, role string, city string, company string, major string, salary_min bigint, salary_max bigint, "
+    "education string, education_rank int, exp_min_years int, exp_max_years int, skills array<string>, has_description boolean, "
+    "posted_on date, posted_month int, fingerprint string"
+)
+TEXT_TYPES = "record_id string, raw_title string, description string, salary_text string, req_text string"
 TEXT_COLUMNS = ("record_id", "raw_title", "description", "salary_text", "req_text")
 
 
@@ -102,6 +114,73 @@ def read_bronze(spark: SparkSession, root: str) -> DataFrame:
     return read_layer(spark, root, BRONZE, "posting").drop("batch")
 
 
+def silver_by_month(root: str, table: str) -> BucketTable:
+    """A Silver table that batches are added to: ``posting`` or ``posting_text``, in one bucket for each month."""
+    columns = {"posting": SILVER_TYPES, "posting_text": f"{TEXT_TYPES}, fingerprint string, posted_month int"}[table]
+    return BucketTable(layer_path(root, SILVER, f"{table}_by_month"), StructType.fromDDL(columns), ("posted_month",), by_value=True)
+
+
+def changes_of(spark: SparkSession, fused: DataFrame, dicts: Dictionaries, root: str, batch_id: str, n_buckets: int = N_BUCKETS) -> DataFrame:
+    """What a batch does to Silver: its rows with their text and ``sign``, 1 for postings that came, -1 for those replaced.
+
+    Written to the lake, so that a run that broke off finds the same changes again.
+    """
+    path = layer_path(root, SILVER, f"changes/batch={quote(batch_id)}")
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    write_bronze(spark, fused, root, batch_id)
+    batch = read_layer(spark, root, BRONZE, f"posting/batch={quote(batch_id)}")
+    unique = clean.dedup(clean.valid_rows(batch), dicts.source_priority)
+    new = against_index(spark, root, unique, dicts.source_priority, n_buckets)
+    staged = scratch(spark, "new")
+    new.write.parquet(staged)
+    new = spark.read.parquet(staged)
+    texts = F.struct(*[F.col(c) for c in TEXT_COLUMNS[1:]]).alias("text")
+    came = refine(new, dicts).join(new.select("fingerprint", texts), "fingerprint")
+    # A fingerprint holds the day, so what a posting replaces is in its own month.
+    replaced = new.where("replaces").select("fingerprint", (F.year("posted_on") * 100 + F.month("posted_on")).alias("posted_month"))
+    posting, text = silver_by_month(root, "posting"), silver_by_month(root, "posting_text")
+    months = posting.touched(replaced)
+    texts_of = text.read(spark, months).select("fingerprint", texts)
+    went = posting.read(spark, months).join(replaced.select("fingerprint"), "fingerprint", "left_semi").join(texts_of, "fingerprint")
+    columns = [*SILVER_COLUMNS, "text"]
+    signed = came.select(*columns, F.lit(1).alias("sign")).unionByName(went.select(*columns, F.lit(-1).alias("sign")))
+    signed.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def add_batch(spark: SparkSession, fused: DataFrame, dicts: Dictionaries, root: str, batch_id: str, n_buckets: int = N_BUCKETS, gold_buckets: int = 64) -> DataFrame:
+    """Takes a batch of raw postings into a lake kept by batches, and returns its ``changes_of`` Silver.
+
+    The batch is deduped in itself and against the index of what is stored; the months of its new
+    postings are rewritten, all others stay, and Gold is maintained from the changes alone. A
+    lake may begin with its first batch. The same batch again changes nothing.
+    """
+    changes = changes_of(spark, fused, dicts, root, batch_id, n_buckets)
+    came, went = changes.where("sign = 1"), changes.where("sign = -1").select("fingerprint")
+    month = F.col("posted_month")
+    rows = {
+        "posting": came.select(*SILVER_COLUMNS),
+        "posting_text": came.select("record_id", "text.*", "fingerprint", month),
+    }
+
+    def rewrite(name: str) -> None:
+        table = silver_by_month(root, name)
+        if table.tag(spark) != batch_id:
+            months = table.touched(came)
+            stays = table.read(spark, months).join(went, "fingerprint", "left_anti")
+            table.replace(spark, stays.unionByName(rows[name]), months, batch_id)
+
+    at_once([partial(rewrite, name) for name in rows])
+    maintain.apply(spark, root, came, changes.where("sign = -1"), batch_id, gold_buckets)
+    # Last: until the index has them, a run that broke off would take the same postings again.
+    add(spark, root, came, n_buckets)
+    return changes
+
+
 def write_silver(spark: SparkSession, root: str, dicts: Dictionaries) -> DataFrame:
     """Writes Silver. The dedup is the one wide shuffle, so its result is kept and read twice."""
     bronze = read_bronze(spark, root)
@@ -127,11 +206,15 @@ def write_gold(spark: SparkSession, root: str) -> None:
     at_once([partial(write_layer, table, root, GOLD, name) for name, table in tables.items()])
 
 
-def write_graph(spark: SparkSession, root: str) -> None:
-    """Writes the node and edge tables next to Gold, for counts, search and export."""
+def write_graph(spark: SparkSession, root: str, mapping: DataFrame | None = None, min_postings: int = 1, top_n: int | None = None) -> None:
+    """Writes the node and edge tables next to Gold, for counts, search and export.
+
+    ``mapping (posting_major, major)`` leads from the majors of postings to those of the graph; of the
+    role-skill edges those of ``min_postings`` up are kept, the ``top_n`` of a role.
+    """
     p, js = read_layer(spark, root, SILVER, "posting"), read_layer(spark, root, GOLD, "job_skill")
     names = graph.NODE_TABLES | graph.EDGE_TABLES
-    tables = graph.build_nodes(p, js) | graph.build_edges(p, js)
+    tables = graph.build_nodes(p, js, mapping) | graph.build_edges(p, js, mapping, min_postings, top_n)
     at_once([partial(write_layer, table, root, GOLD, names[kind]) for kind, table in tables.items()])
 
 

@@ -55,17 +55,23 @@ def file_census(raw: DataFrame) -> DataFrame:
     return by_file.groupBy("source").agg(F.count("source_file").alias("files"), F.sum("_rows").alias("rows"))
 
 
-def fuse_sources(sources: Sequence[tuple[DataFrame, Mapping[str, str]]]) -> DataFrame:
+def with_posting_key(df: DataFrame) -> DataFrame:
+    """``record_id`` made unique over platforms: the platform and its own id. A posting without an id keeps none."""
+    return df.withColumn("record_id", F.concat("source", F.lit(":"), F.col("record_id").cast("string")))
+
+
+def fuse_sources(sources: Sequence[tuple[DataFrame, Mapping[str, str]]], keyed: bool = False) -> DataFrame:
     """Renames each source's columns to the common ones and stacks the sources.
 
     The mapping is ``{column of the source: common column}``; others keep their names, and
-    a column one source lacks is NULL there.
+    a column one source lacks is NULL there. ``keyed`` makes the platforms' own ids, which may
+    clash, into posting keys; leave it out where ids are unique over all of them already.
     """
     renamed = [df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns]) for df, names in sources]
     fused = renamed[0]
     for other in renamed[1:]:
         fused = fused.unionByName(other, allowMissingColumns=True)
-    return fused
+    return with_posting_key(fused) if keyed else fused
 
 
 def write_unified(df: DataFrame, path: str) -> None:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import random
+import re
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from skillstrata.dictionaries import ROLE_RULES, Dictionaries
-from skillstrata.functions.skills import PHRASE, SKILL_SCHEMA, TOKEN, SkillAlias
-from skillstrata.operators import clean
+from skillstrata.functions.skills import PHRASE, SKILL_SCHEMA, TOKEN, SkillAlias, emit_grams, file_aliases
+from skillstrata.operators import clean, quality
 from skillstrata.plans import lake_build
+from skillstrata.session import scratch
 
 RAW_SCHEMA = (
     "record_id string, source string, raw_title string, raw_city string, company string, major string, "
@@ -86,6 +89,17 @@ def test_standardize_city(spark):
         ("30-20千/月", (20000, 30000, 12)),
         ("８－１２千／月", (8000, 12000, 12)),
         (" 8 - 12千/月 ", (8000, 12000, 12)),
+        ("8千-1.2万/月", (8000, 12000, 12)),
+        ("10k-15K/月", (10000, 15000, 12)),
+        ("15-25k·14薪", (15000, 25000, 14)),
+        ("1-1.5万·13薪", (10000, 15000, 13)),
+        ("8-12千", (8000, 12000, 12)),
+        ("6000-8000元", (6000, 8000, 12)),
+        ("9千-8千/月", (8000, 9000, 12)),
+        ("200元/天", (4350, 4350, 12)),
+        ("9000元/月·13薪", (9000, 9000, 13)),
+        ("200元", (None, None, None)),
+        ("8-12", (None, None, None)),
         ("8千/月", (None, None, None)),
         ("面议", (None, None, None)),
         ("1.2.3-4千/月", (None, None, None)),
@@ -110,6 +124,12 @@ def test_parse_salary(spark, text, expected):
         ("硕士优先，本科亦可", "本科", 3, (None, None)),
         ("在校/应届 博士", "博士", 5, (0, 0)),
         ("3年以内", None, None, (0, 3)),
+        ("三年以上", None, None, (3, None)),
+        ("两年以上，本科", "本科", 3, (2, None)),
+        ("三-五年", None, None, (3, 5)),
+        ("十年以上", None, None, (10, None)),
+        ("十五年以下", None, None, (0, 15)),
+        ("二十年以上", None, None, (20, None)),
         ("10-5年", None, None, (5, 10)),
         ("", None, None, (None, None)),
         (None, None, None, (None, None)),
@@ -226,3 +246,63 @@ def test_a_repeated_city_alias_does_not_double_postings(spark):
     aliases = spark.createDataFrame([("sh", "Shanghai"), ("sh", "Shantou")], "alias string, city string")
     found = clean.standardize_city(raw(spark, {"raw_city": "SH"}), aliases)
     assert column(found, "city") == ["Shanghai"] or column(found, "city") == [("Shanghai",)]
+
+
+def skills_by_force(text: str, skill_of: dict[tuple[str, str], str], longest: int) -> list[str]:
+    """At each place the longest alias of a kind, tokens between edges of words alone."""
+    letter = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9+#]"
+    found = set()
+    for mode in (PHRASE, TOKEN):
+        at = 0
+        while at < len(text):
+            for size in range(min(longest, len(text) - at), 0, -1):
+                skill = skill_of.get((text[at : at + size], mode))
+                inside = re.search(rf"{letter}\.?$", text[max(0, at - 2) : at]) or re.match(rf"\.?{letter}", text[at + size : at + size + 2])
+                if skill and (mode == PHRASE or not inside):
+                    found.add(skill)
+                    at += size - 1
+                    break
+            at += 1
+    return sorted(found)
+
+
+def test_a_large_table_of_aliases_of_many_lengths(spark):
+    """100,000 aliases of 1 to 24 characters: right skills, and at most 1.5 rows for a character of text."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz数据机器学习.+#") for _ in range(rng.randint(3, 8))).strip(".")
+    names = {" ".join(w for w in (word() for _ in range(rng.randint(1, 3))) if w)[:24].strip() for _ in range(110_000)} | {"r", "q", "数据", "c#", "ab"}
+    rows = [(name, f"s{k % 5000}", rng.choice([PHRASE, TOKEN])) for k, name in enumerate(sorted(n for n in names if n))][:100_000]
+    known = [name for name, _, _ in rows]
+    texts = ["".join(rng.choice([f"{rng.choice(known)} ", f"{word()} ", rng.choice(known), "、"]) for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    df = raw(spark, *[{"record_id": str(k), "description": text} for k, text in enumerate(texts)])
+    path = scratch(spark, "aliases")
+    spark.createDataFrame(rows, SKILL_SCHEMA).repartition(8).write.parquet(path)
+    aliases = spark.read.parquet(path)
+    got = {r.record_id: r.skills for r in clean.extract_skills(df, aliases).select("record_id", "skills").collect()}
+    squeezed = {k: " ".join(text.split()) for k, text in enumerate(texts)}
+    skill_of = {(name, mode): skill for name, skill, mode in rows}
+    assert got == {str(k): skills_by_force(text, skill_of, 24) for k, text in squeezed.items()}
+    filed = file_aliases(aliases)
+    assert filed.count() == len(rows)
+    heads = [r[0] for r in filed.where("length(gram) = 3").select(F.substring("gram", 1, 2)).distinct().collect()]
+    short = [r[0] for r in filed.where("length(gram) < 3").select("gram").distinct().collect()]
+    chars = spark.createDataFrame([(k, list(text)) for k, text in squeezed.items() if text], "id long, _chars array<string>")
+    assert emit_grams(chars, "id", heads, short).count() <= 1.5 * sum(map(len, squeezed.values()))
+
+
+def test_sketched_completeness_is_near_the_exact_one(spark):
+    df = spark.range(30_000).select(
+        (F.col("id") % 12).alias("month"),
+        F.col("id").cast("string").alias("own"),
+        (F.col("id") % 700).alias("some"),
+        F.when(F.col("id") % 3 == 0, " ").when(F.col("id") % 3 == 1, "x").alias("sparse"),
+    )
+    exact = {r.column_name: r for r in quality.completeness(df.drop("month")).collect()}
+    by_month = quality.sketched(df, ["month"])
+    assert by_month.count() == 12 * 3
+    for r in quality.completeness_of(by_month).collect():
+        want = exact[r.column_name]
+        assert (r.rows, r.nulls, r.blanks) == (want.rows, want.nulls, want.blanks)
+        assert abs(r.distinct_values / want.distinct_values - 1) < 0.03
+    plan = by_month._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan.split("Exchange")[1]
