@@ -46,6 +46,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI with the file system it is on, which is the cluster's default where it names none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """Texts of a batch, NULL as empty."""
     return [text or "" for text in batch.column(batch.schema.get_field_index(name)).to_pylist()]
