@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillstrata.llm.common import stored
+from skillstrata.llm.common import forget, stored
 
 MAX_ROUNDS = 100
 
@@ -28,11 +28,13 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(_distinct(large), "links")
+        forget(links)
         # small-star: a node's smaller neighbours, and the node itself, hang on the smallest.
         least = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("of"))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         links = stored(_distinct(small), "links")
+        forget(large)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
