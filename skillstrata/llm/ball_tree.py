@@ -1,6 +1,6 @@
 """Exact search for the k highest inner products with ball trees (operator 10).
 
-Vectors are dealt by a hash of their id into shards of bounded size, and each shard is indexed
+Vectors are dealt by a hash of their row into shards of bounded size, and each shard is indexed
 once as a ball tree: nodes with a centre and a radius, and leaves of a few vectors. No vector in
 a node scores more with a query than ``query . centre + |query| * radius``. A query visits a
 shard's leaves from the highest such bound down, and stops where no bound reaches its k-th score.
@@ -35,6 +35,7 @@ EXACT_FLOAT = 2**53
 class Tree:
     """Vectors in leaf order; node i covers rows ``starts[i]`` to ``ends[i]``; children 2i+1 and 2i+2 where inner."""
 
+    rows: np.ndarray
     ids: np.ndarray
     vectors: np.ndarray
     centres: np.ndarray
@@ -52,12 +53,12 @@ def narrow(vectors: np.ndarray) -> np.ndarray:
     return vectors
 
 
-def build(ids: np.ndarray, vectors: np.ndarray) -> Tree:
+def build(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> Tree:
     """A balanced tree: each node is cut at the median of its widest direction among its own axes."""
     points = vectors.astype(np.float64)
     depth = max(0, math.ceil(math.log2(max(1, len(ids) / LEAF_ROWS))))
     nodes = 2 ** (depth + 1) - 1
-    order = np.lexsort((ids,))
+    order = np.lexsort((rows, ids))
     starts, ends = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
     ends[0] = len(ids)
     centres, radii = np.zeros((nodes, points.shape[1])), np.zeros(nodes)
@@ -76,7 +77,7 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> Tree:
                 order[a:b] = order[a:b][np.argsort(own @ (other - far), kind="stable")]
             starts[2 * i + 1], ends[2 * i + 1] = a, middle
             starts[2 * i + 2], ends[2 * i + 2] = middle, b
-    return Tree(ids[order], narrow(vectors[order]), centres, radii, starts, ends, depth)
+    return Tree(rows[order], ids[order], narrow(vectors[order]), centres, radii, starts, ends, depth)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,10 +91,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, LOWEST + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, reach: np.ndarray, k: int, most_leaves: int | None) -> tuple[np.ndarray, np.ndarray]:
+def search(tree: Tree, own: np.ndarray, queries: np.ndarray, reach: np.ndarray, k: int, most_leaves: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of the k best of a shard for each query, LOWEST where there are fewer.
 
-    Nothing below ``reach`` need be found. With ``most_leaves`` a query visits so many leaves.
+    ``own`` are the queries' own rows, which they do not find. Nothing below ``reach`` need be found. With ``most_leaves`` a query visits so many leaves.
     """
     n, width = len(queries), k
     best = np.full((n, width), LOWEST, np.int64)
@@ -106,10 +107,10 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, reach: np.ndarray,
     for level in range(tree.depth + 1):
         nodes = slice(2**level - 1, 2 ** (level + 1) - 1)
         parents = bounds if level == 0 else np.repeat(bounds, 2, axis=1)
-        own = points @ tree.centres[nodes].T + norm[:, None] * tree.radii[nodes]
-        own = own + 1e-9 * np.abs(own) + 1e-6 * (1 + norm[:, None])  # for rounding
-        own[:, tree.ends[nodes] == tree.starts[nodes]] = -np.inf
-        bounds = np.where(np.minimum(own, parents) >= reach[:, None], own, -np.inf)
+        most = points @ tree.centres[nodes].T + norm[:, None] * tree.radii[nodes]
+        most = most + 1e-9 * np.abs(most) + 1e-6 * (1 + norm[:, None])  # for rounding
+        most[:, tree.ends[nodes] == tree.starts[nodes]] = -np.inf
+        bounds = np.where(np.minimum(most, parents) >= reach[:, None], most, -np.inf)
     first = 2**tree.depth - 1
     order = np.argsort(-bounds, axis=1, kind="stable")
     for visit in range(order.shape[1] if most_leaves is None else min(most_leaves, order.shape[1])):
@@ -123,7 +124,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, reach: np.ndarray,
             node = first + leaf[group[0]]
             rows = slice(tree.starts[node], tree.ends[node])
             found = products(queries[group], tree.vectors[rows])
-            found[ids[group][:, None] == tree.ids[rows][None, :]] = LOWEST
+            found[own[group][:, None] == tree.rows[rows][None, :]] = LOWEST
             scores = np.concatenate([best[group], found], axis=1)
             names = np.concatenate([best_ids[group], np.broadcast_to(tree.ids[rows], found.shape)], axis=1)
             # ~score falls as the score rises, for every 64-bit score.
@@ -139,11 +140,11 @@ def whole(x: Column) -> Column:
 
 
 def vectors_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, dim, v array<long>)`` of the vectors that take part, one for each id."""
+    """``(row, id, dim, v array<long>)`` of the vectors that take part; rows are numbered for good once written."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     taking = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
     taking = taking.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, whole).alias("v"))
-    return taking.groupBy("id").agg(F.min("v").alias("v")).select("id", F.size("v").alias("dim"), "v")
+    return taking.select(F.monotonically_increasing_id().alias("row"), "id", F.size("v").alias("dim"), "v")
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -154,10 +155,10 @@ def _shards(vectors: DataFrame, shards: int) -> DataFrame:
     """``(dim, shard, tree binary)``, one row for about SHARD_ROWS vectors."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = build(rows["id"].to_numpy(np.int64), _matrix(rows["v"]))
+        tree = build(rows["row"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), _matrix(rows["v"]))
         return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "shard": [rows["shard"].iloc[0]], "tree": [pickle.dumps(tree, 5)]})
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     return dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, tree binary")
 
 
@@ -165,10 +166,10 @@ def _blocks(queries: DataFrame, blocks: int) -> DataFrame:
     """``(dim, block, queries binary)``, one row for about BLOCK_ROWS queries with the scores to reach."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        block = (rows["id"].to_numpy(np.int64), narrow(_matrix(rows["v"])), rows["reach"].to_numpy(np.int64))
+        block = (rows["row"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), narrow(_matrix(rows["v"])), rows["reach"].to_numpy(np.int64))
         return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "block": [rows["block"].iloc[0]], "queries": [pickle.dumps(block, 5)]})
 
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
     return dealt.groupBy("dim", "block").applyInPandas(run, "dim int, block int, queries binary")
 
 
@@ -180,17 +181,17 @@ def _met(trees: DataFrame, blocks: DataFrame, shards: int, n_blocks: int) -> Dat
 
 
 def _round(met: DataFrame, k: int, most_leaves: int | None) -> DataFrame:
-    """``(query_id, found array<(score, vec_id)>)``: what a shard has for a query, best first."""
+    """``(query_row, query_id, place, vec_id, score)``: what a shard has for a query, best first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for tree, block in zip(frame["tree"], frame["queries"], strict=True):
-                ids, queries, reach = pickle.loads(block)
-                scores, names = search(pickle.loads(tree), ids, queries, reach, k, most_leaves)
+                own, ids, queries, reach = pickle.loads(block)
+                scores, names = search(pickle.loads(tree), own, queries, reach, k, most_leaves)
                 at, place = np.nonzero((scores != LOWEST) & (scores >= reach[:, None]))
-                yield pd.DataFrame({"query_id": ids[at], "place": place, "vec_id": names[at, place], "score": scores[at, place]})
+                yield pd.DataFrame({"query_row": own[at], "query_id": ids[at], "place": place, "vec_id": names[at, place], "score": scores[at, place]})
 
-    return met.mapInPandas(run, "query_id long, place long, vec_id long, score long")
+    return met.mapInPandas(run, "query_row long, query_id long, place long, vec_id long, score long")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -199,7 +200,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     Components are ``floor(64 * x)``. Queries are the rows where ``is_query`` (over the column
     ``id``) holds; candidates are all other rows of as many components. Equal scores go by
     smaller id. Rows with a NULL id, a NULL vector, or a NULL or non-finite component take no
-    part; of rows with one id the smallest vector counts. Empty vectors score 0 with each other.
+    part. Rows with one id are vectors of their own: a query finds all rows but itself, and each row
+    of a repeated query has its own ranks. Empty vectors score 0 with each other.
     No queries, no rows.
     """
     vectors = stored(vectors_of(df, id_col, vector_col), "vectors")
@@ -209,9 +211,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
 
     unknown = queries.withColumn("reach", F.lit(LOWEST))
     first = _round(_met(trees, _blocks(unknown, blocks), shards, blocks), k, 1)
-    reach = stored(first.where(F.col("place") == k - 1).groupBy("query_id").agg(F.max("score").alias("reach")), "reach")
-    known = queries.join(reach, F.col("id") == F.col("query_id"), "left").select("id", "dim", "v", F.coalesce("reach", F.lit(LOWEST)).alias("reach"))
+    reach = stored(first.where(F.col("place") == k - 1).groupBy(F.col("query_row").alias("row")).agg(F.max("score").alias("reach")), "reach")
+    known = queries.join(reach, "row", "left").select("row", "id", "dim", "v", F.coalesce("reach", F.lit(LOWEST)).alias("reach"))
     second = _round(_met(trees, _blocks(known, blocks), shards, blocks), k, None)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     ranked = second.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

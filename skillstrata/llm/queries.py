@@ -23,7 +23,7 @@ from skillstrata.llm import (
     token_files,
     url_rules,
 )
-from skillstrata.llm.common import stored, table
+from skillstrata.llm.common import qualified, stored, table
 from skillstrata.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "tokens")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(spark, scratch(spark, "tokens"))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = token_files.write(documents, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     read = token_files.read(spark, folder, manifest)
@@ -165,15 +164,68 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 
 OP10_SQL = """
 WITH wanted AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-    FROM wanted q JOIN wanted c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM wanted q JOIN wanted c ON q.vec_id % 20 = 0 AND q.place <> c.place
 ), ranked AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_top_k": OP10_SQL, "op8_url_rules": OP8_SQL}
+MERKLE_LEVELS = 6  # of the SQL alone: up to 16**6 rows a source and as many sources
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
+
+
+def _merkle_levels_sql(tree: str) -> str:
+    """CTEs ``<tree>1`` and so on over ``<tree>0(g, idx, h)``: a level's nodes, and the runs ``<tree>_runs0`` and so on below them."""
+    parts = []
+    for k in range(MERKLE_LEVELS):
+        counted = f"(SELECT *, count(*) OVER (PARTITION BY g) > 1 AS several FROM {tree}{k})"
+        parts.append(f"{tree}_runs{k} AS (SELECT g, idx // 16 AS idx, list(h ORDER BY idx) AS hs, any_value(several) AS several FROM {counted} GROUP BY ALL)")
+        parts.append(f"{tree}{k + 1} AS (SELECT g, idx, CASE WHEN several THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {tree}_runs{k})")
+    return ",\n".join(parts)
+
+
+def _merkle_folds_sql(tree: str, fold: str) -> str:
+    """CTEs ``<fold>1`` and so on over ``<fold>0(place, g, idx, node, proof)``: a leaf's way up the tree."""
+    parts = []
+    left, right = "array_to_string(hs[1 : f.idx % 16], '')", "array_to_string(hs[f.idx % 16 + 2 :], '')"
+    for k in range(MERKLE_LEVELS):
+        node = f"CASE WHEN several THEN sha256({left} || node || {right}) ELSE node END AS node"
+        proof = f"CASE WHEN several THEN proof || {left} || {right} ELSE proof END AS proof"
+        parts.append(f"{fold}{k + 1} AS (SELECT place, f.g, f.idx // 16 AS idx, {node}, {proof} FROM {fold}{k} f JOIN {tree}_runs{k} r ON r.g = f.g AND r.idx = f.idx // 16)")
+    return ",\n".join(parts)
+
+
+_LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
+_FIELDS_SQL = [_field_sql(name) for name in ("doc_id", "source", "lang", "n_chars")]
+OP11_SQL = f"""
+WITH read AS (
+    SELECT row_number() OVER () AS place, doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g,
+           sha256({" || ".join([*_FIELDS_SQL, _field_sql("text")])}) AS leaf,
+           sha256({" || ".join([*_FIELDS_SQL, _field_sql(_LOWERED)])}) AS lowered,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte:
+               list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y:
+                   CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 5 = 0 AS tampered
+    FROM documents
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM read
+), source0 AS (SELECT g, idx, leaf AS h FROM ranked),
+{_merkle_levels_sql("source")},
+top0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, h, g AS source_key FROM source{MERKLE_LEVELS}),
+{_merkle_levels_sql("top")},
+low0 AS (SELECT place, g, idx, CASE WHEN tampered THEN lowered ELSE leaf END AS node, '' AS proof FROM ranked),
+{_merkle_folds_sql("source", "low")},
+high0 AS (SELECT place, '' AS g, t.idx, node, proof FROM low{MERKLE_LEVELS} l JOIN top0 t ON t.source_key = l.g),
+{_merkle_folds_sql("top", "high")}
+SELECT doc_id, leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.h AS verified
+FROM ranked JOIN high{MERKLE_LEVELS} f USING (place) JOIN top0 t ON t.source_key = ranked.g, top{MERKLE_LEVELS} r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_top_k": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op8_url_rules": OP8_SQL}

@@ -82,8 +82,8 @@ class EliasFano:
             out |= ((self.low[at >> 3] >> (at & 7)) & 1).astype(np.int64) << b
         return out
 
-    def select(self, k: int) -> int:
-        """The k-th value, read from the nearest sampled place on."""
+    def _place(self, k: int) -> int:
+        """Where the k-th one bit of the high part is, from the nearest sampled place on."""
         if not 0 <= k < self.n:
             raise IndexError(k)
         place, left = int(self.samples[k // SAMPLE]), k % SAMPLE
@@ -95,14 +95,26 @@ class EliasFano:
             byte = int(self.high[at])
         for _ in range(left):
             byte &= byte - 1
-        place = at * 8 + (byte & -byte).bit_length() - 1
-        return (place - k) << self.low_bits | int(self._low(np.array([k]))[0])
+        return at * 8 + (byte & -byte).bit_length() - 1
+
+    def select(self, k: int) -> int:
+        """The k-th value."""
+        return (self._place(k) - k) << self.low_bits | int(self._low(np.array([k]))[0])
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: the places of the first and the last are selected, and what lies between is decoded."""
+        if a == b:
+            return np.zeros(0, np.int64)
+        first, last = self._place(a), self._place(b - 1)
+        begin = first >> 3
+        ones = np.flatnonzero(np.unpackbits(self.high[begin : (last >> 3) + 1], bitorder="little")) + 8 * begin
+        ones = ones[(ones >= first) & (ones <= last)]
+        k = np.arange(a, b)
+        return (ones - k) << self.low_bits | self._low(k)
 
     def all(self) -> np.ndarray:
         """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        k = np.arange(self.n)
-        return (ones - k) << self.low_bits | self._low(k)
+        return self.between(0, self.n)
 
 
 @lru_cache(maxsize=1)
@@ -204,20 +216,21 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 path = f"{root}/{row['shard']}"
                 with fs.open_input_stream(f"{path}.ef") as file:
-                    ends = EliasFano.from_bytes(file.read()).all()
+                    boundaries = EliasFano.from_bytes(file.read())
                 with fs.open_input_stream(f"{path}.doc") as file:
                     docs = np.frombuffer(file.read(), [("known", "u1"), ("id", "<i8")])
-                starts = np.r_[0, ends[:-1]]
                 with fs.open_input_file(f"{path}.ids") as file:
-                    for a in range(0, len(ends), DOCS_AT_ONCE):
-                        b = min(a + DOCS_AT_ONCE, len(ends))
-                        size = int(ends[b - 1] - starts[a]) * row["width"]
-                        ids = np.frombuffer(file.read_at(size, int(starts[a]) * row["width"]), f"<u{row['width']}").astype("<u4")
-                        sizes = ends[a:b] - starts[a:b]
+                    for a in range(0, boundaries.n, DOCS_AT_ONCE):
+                        b = min(a + DOCS_AT_ONCE, boundaries.n)
+                        ends = boundaries.between(a, b)
+                        starts = np.r_[boundaries.select(a - 1) if a else 0, ends[:-1]]
+                        sizes = ends - starts
+                        data = file.read_at(int(sizes.sum()) * row["width"], int(starts[0]) * row["width"])
+                        ids = np.frombuffer(data, f"<u{row['width']}").astype("<u4")
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "doc_id": pa.array(docs["id"][a:b], mask=docs["known"][a:b] == 0),
-                                "start": starts[a:b] + row["ids_before"],
+                                "start": starts + row["ids_before"],
                                 "n_tokens": sizes,
                                 "ids": packed(ids, sizes),
                             }
