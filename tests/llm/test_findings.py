@@ -88,3 +88,65 @@ def test_recurring_lines_without_blanks(llm_spark):
     got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_templates(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == rows[0][1].split("\n")
     assert all("版权" not in line and "สงวน" not in line for k in range(1, 4) for line in got[k])
+
+
+def dropped(spark, rows):
+    got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {k: [line for line in text.split("\n") if line not in got[k]] for k, text in rows}
+
+
+def test_short_lines_recur_as_they_are(llm_spark):
+    """Lines of one or two words count exactly, numbers included."""
+    rows = [(k, f"Read more\nShare\nPage {k}\nown{k}\n\ntext of number {'abcdefgh'[k]}") for k in range(6)]
+    gone = dropped(llm_spark, rows)
+    assert gone[0] == [] and all(gone[k] == ["Read more", "Share"] for k in range(1, 6))
+
+
+def test_sentences_of_one_build_stay(llm_spark):
+    """Variable words need more documents the more of them there are."""
+    facts = [("France", "Paris", "Seine"), ("Hungary", "Budapest", "Danube"), ("Italy", "Rome", "Tiber"), ("Austria", "Vienna", "Danube"), ("Egypt", "Cairo", "Nile")]
+    rows = [(k, f"The capital of {a} is {b} and it lies on the {c}\nown{'abcde'[k]} text") for k, (a, b, c) in enumerate(facts)]
+    assert not any(dropped(llm_spark, rows).values())
+    wall = [(k, f"Posted on the wall by name{'abcdefgh'[k % 8]} for everyone in the forum") for k in range(40)]
+    assert [k for k, lines in dropped(llm_spark, wall).items() if not lines] == [0]
+
+
+def test_templates_side_by_side_in_a_leaf(llm_spark):
+    """Two templates that begin alike are told apart below the leaf."""
+    one = [(k, f"sent from the mobile app of user name{chr(97 + k)} while on the road") for k in range(20)]
+    two = [(100 + k, f"sent from the desktop client by member name{chr(97 + k)} during working hours today") for k in range(20)]
+    gone = dropped(llm_spark, one + two)
+    assert [k for k, lines in gone.items() if not lines] == [0, 100]
+
+
+def test_rows_that_share_an_id_or_have_none_lose_their_own_lines(llm_spark):
+    rows = [(1, "All rights reserved by us\na"), (2, "All rights reserved by us\nb"), (3, "All rights reserved by us\nc"), (3, "d\nAll rights reserved by us"), (None, "e\nAll rights reserved by us"), (None, "f")]
+    got = sorted((r.doc_id or 0, r.text) for r in line_templates.drop_templates(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "e"), (0, "f"), (1, "All rights reserved by us\na"), (2, "b"), (3, "c"), (3, "d")]
+
+
+def test_a_line_of_megabytes(llm_spark):
+    long = " ".join(f"w{k % 977}x" for k in range(400_000))
+    rows = [(k, f"{long}\nown {k}") for k in range(3)]
+    gone = dropped(llm_spark, rows)
+    assert gone[0] == [] and gone[1] == gone[2] == [long]
+
+
+CLASHING = ("kept", "n_words", "n_lines", "n_dropped", "_id", "_digest", "_n", "_doc", "_gone", "_size", "_source", "_copies", "_row_size", "ids", "n_tokens")
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_keep_columns_of_any_name(llm_spark, name, stage):
+    """NULLs, empty and long texts, repeated rows, extra columns named like the operators' own, and no rows."""
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, words, "en", "a", 5), (1, words, "en", "a", 5), (2, None, None, None, None), (3, "", "en", "b", 0), (4, " \t\n", "en", "a", 3), (None, f"{words} more", "en", "b", 5)]
+    rows += [(10 + k, " ".join(f"d{k}w{i}" for i in range(60)), "en", "ab"[k % 2], 5) for k in range(6)] + [(30, " ".join(f"l{k}" for k in range(50_000)), "en", None, 1)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("mine") for c in CLASHING})
+    out = stage(llm_spark, docs, "")
+    found = out.collect()
+    assert found and {r.doc_id for r in found} >= {10, 30}
+    if name != "encode_bpe":
+        assert out.columns == docs.columns and all(r[c] == "mine" for r in found for c in CLASHING)
+    assert stage(llm_spark, docs.limit(0), "").count() == 0

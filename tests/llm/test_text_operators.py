@@ -13,6 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from skillstrata.llm import bpe, licenses, suffix_quality, surrogates, token_files
+from skillstrata.llm.common import qualified
 from skillstrata.llm.queries import QUERIES
 from skillstrata.llm.token_files import EliasFano
 from skillstrata.llm.word_cache import WordCache
@@ -142,11 +143,28 @@ def test_elias_fano_selects_every_value():
         stored = EliasFano.from_bytes(EliasFano.of(values).to_bytes(0))
         assert stored.all().tolist() == values.tolist()
         assert [stored.select(k) for k in range(len(values))] == values.tolist()
+        a, b = sorted(rng.choices(range(len(values) + 1), k=2))
+        assert stored.between(a, b).tolist() == values[a:b].tolist()
     assert EliasFano.from_bytes(EliasFano.of(np.zeros(0, np.int64)).to_bytes(0)).all().tolist() == []
     with pytest.raises(IndexError):
         EliasFano.of(np.array([1])).select(1)
 
 
+def test_token_files_select_the_ends_of_each_stretch(llm_spark, documents, monkeypatch):
+    """Read in stretches of three documents, with no list of all boundaries."""
+    monkeypatch.setattr(EliasFano, "all", None)
+    monkeypatch.setattr(token_files, "DOCS_AT_ONCE", 3)
+    folder = qualified(llm_spark, scratch(llm_spark, "stretches"))
+    rows = [(d, documents[d].text) for d in sorted(documents)[:40]]
+    manifest = token_files.write(llm_spark.createDataFrame(rows, "doc_id long, text string"), folder, WORD_BPE, end_id=1)
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in token_files.read(llm_spark, folder, manifest).collect())
+    library, start = Tokenizer.from_file(WORD_BPE), 0
+    for (doc, text), found in zip(rows, got, strict=True):
+        n = len(library.encode(text, add_special_tokens=False).ids) + 1
+        assert found == (doc, start, n)
+        start += n
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(1).integers(1, 1000, 100_000))
     assert len(EliasFano.of(values).to_bytes(0)) < 100_000 * 11.5 / 8
