@@ -6,7 +6,11 @@ every task; the more hashes, the more rows it lets through in vain, and nothing
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +30,16 @@ def bit_table(df: DataFrame, hashes: Column) -> np.ndarray:
 def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = (hashes.astype(np.int64) % BITS).astype(np.uint64)
     return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def filtered(df: DataFrame, key: Column, table: Broadcast, held: bool) -> DataFrame:
+    """Rows whose hashed key a broadcast bit table holds, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("__member_key")
+            kept = batch.filter(pa.array(may_hold(table.value, batch.column(at).to_numpy()) == held))
+            yield kept.drop_columns(["__member_key"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.withColumn("__member_key", key).mapInArrow(run, kinds)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from skillstrata.llm.common import pieces, stored, texts_of, without
 from skillstrata.llm.components import components
+from skillstrata.llm.membership import bit_table, filtered
 from skillstrata.session import scratch
 
 BITS = 64
@@ -304,11 +305,19 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     ``labelled`` tells the groups, as ``(id, digest, group)`` of each row; by default those of the fingerprints.
     Of texts under one id the one with the smallest hash stays; of rows equal in id and text any.
+    Input columns must not be named ``_id``, ``_digest``, ``_n`` or ``__member_key``.
     """
     place = ["group", "id", "digest"]
-    rows = labelled(df, id_col, text_col).groupBy(*place).agg(F.count("*").alias("n"))
+    rows = stored(labelled(df, id_col, text_col).groupBy(*place).agg(F.count("*").alias("n")), "places")
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest", "n")).alias("first"))
     first = stored(first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "first")
-    kept = df.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_digest")))
+    # Rows that no bit of a dropped or repeated one marks stay where they are; the others, few, are looked up.
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.col("_n") == 1)
+    doubtful = rows.join(first, same, "left_anti")
+    table = df.sparkSession.sparkContext.broadcast(bit_table(doubtful, F.xxhash64("id", "digest")))
+    key = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
+    alone = filtered(df, key, table, False)
+    kept = filtered(df, key, table, True).join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_digest")))
     several = kept.where("_n > 1").dropDuplicates(["_id", "_digest"])
-    return kept.where("_n = 1").unionByName(several).select([F.col(f"`{c}`") for c in df.columns])
+    looked_up = kept.where("_n = 1").unionByName(several).select([F.col(f"`{c}`") for c in df.columns])
+    return alone.unionByName(looked_up)
