@@ -1,5 +1,9 @@
 """Near duplicates by the Jaccard similarity of their shingle sets, exact (near_dedup of the pipeline).
 
+The method is that of operator 2: each set has a fingerprint of 64 bits, fingerprints within two bits are
+linked through the general pigeonhole principle (``simhash.links``), and links are verified on whole sets.
+Sets as similar as ``percent`` may have fingerprints further apart, so an exact search completes them.
+
 A text's set holds the hashes of its runs of ``width`` words. Two sets of similarity ``percent``
 or more share a member among the first ``n - ceil(percent * n / 100) + 1`` of each, in whatever
 order all sets are sorted (prefix filtering). So:
@@ -27,6 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillstrata.llm import simhash
 from skillstrata.llm.common import forget, pieces, stored, texts_of
 from skillstrata.llm.components import components
 from skillstrata.llm.membership import BITS, bit_table, may_hold
@@ -82,15 +87,18 @@ def prefix(members: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: i
 
 
 def named(rows: DataFrame, width: int) -> DataFrame:
-    """``(id, digest, name, n)``: each row's set by name and size."""
+    """``(id, digest, name, n, bits)``: each row's set by name, size and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE_BYTES):
             sets = [shingle_set(text, width) for text in texts_of(piece, "text")]
             columns = {name: piece.column(piece.schema.get_field_index(name)) for name in ("id", "digest")}
-            yield pa.RecordBatch.from_pydict(columns | {"name": pa.array(map(set_name, sets), pa.binary()), "n": pa.array(map(len, sets), pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                columns | {"name": pa.array(map(set_name, sets), pa.binary()), "n": pa.array(map(len, sets), pa.int64())}
+                | {"bits": pa.array(np.fromiter(map(simhash.bits_of, sets), np.uint64, len(sets)).view(np.int64))}
+            )
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, digest long, name binary, n long")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, digest long, name binary, n long, bits long")
 
 
 def chosen_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -211,6 +219,27 @@ def candidates(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame
     return met.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
 
 
+def regrouped(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the group each set is in by now, less those under keys of one group alone."""
+    grouped = members.drop("group").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    grouped = grouped.withColumn("group", F.coalesce("root", "fp")).drop("root")
+    several = grouped.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
+    left = stored(grouped.join(several, "key", "left_semi"), "members")
+    forget(members)
+    return left
+
+
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """``(a, b)``: sets whose fingerprints are equal or linked, by way of the smallest set of each fingerprint."""
+    prints = stored(distinct.groupBy("bits").agg(F.min("fp").alias("least")), "prints")
+    alike = distinct.join(prints, "bits").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    found = simhash.links(prints.select(F.col("bits").alias("fp")))
+    for side in "ab":
+        found = found.join(prints.select(F.col("bits").alias(side), F.col("least").alias(f"set_{side}")), side)
+    met = found.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
+    return alike.unionByName(met).distinct()
+
+
 def roots_of(rows: DataFrame, distinct: DataFrame, width: int, percent: int, often: Broadcast) -> DataFrame:
     """``(node, root)`` of each set that has a similar one; root names all that are connected."""
     texts = chosen_texts(rows, distinct)
@@ -220,17 +249,19 @@ def roots_of(rows: DataFrame, distinct: DataFrame, width: int, percent: int, oft
     shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("key")
     members = stored(keys.join(shared, "key").withColumn("group", F.col("fp")), "members")
     forget(keys)
-    names = stored(distinct.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "name", "id", "digest"), "names")
+    near = stored(fingerprint_links(distinct), "near")
+    wanted = members.select("fp").unionByName(near.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    names = stored(distinct.join(wanted, "fp", "left_semi").select("fp", "name", "id", "digest"), "names")
+    linked = verified(near, rows, names, width, percent)
+    forget(near)
+    near_roots = components(linked)
+    members = regrouped(members, near_roots)
     least = members.groupBy("key").agg(F.min(F.struct("fp", "n", "at", "group")).alias("first")).select("key", "first.*")
-    found = verified(candidates(members, least, percent), rows, names, width, percent)
+    found = linked.unionByName(verified(candidates(members, least, percent), rows, names, width, percent))
+    forget(near_roots)
     roots = components(found)
     for one_of in PIVOTS:
-        grouped = members.drop("group").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        grouped = grouped.withColumn("group", F.coalesce("root", "fp")).drop("root")
-        several = grouped.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
-        left = stored(grouped.join(several, "key", "left_semi"), "members")
-        forget(members)
-        members = left
+        members = regrouped(members, roots)
         pivots = members.where(F.pmod(F.xxhash64("fp"), F.lit(one_of)) == 0)
         more = verified(candidates(members, pivots, percent), rows, names, width, percent)
         if not more.isEmpty():
@@ -249,7 +280,7 @@ def labelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     docs = stored(named(rows, width), "prints")
     # One row stands for all that share a set; numbers are shorter than names and fixed once written.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
-    distinct = docs.groupBy("name", "n").agg(first).select("name", "n", "first.id", "first.digest")
+    distinct = docs.groupBy("name", "n", "bits").agg(first).select("name", "n", "bits", "first.id", "first.digest")
     distinct = stored(distinct.withColumn("fp", F.monotonically_increasing_id()), "distinct")
     roots = roots_of(rows, distinct, width, percent, often)
     # Stored, so that both sides of the last join are dealt out for it and a hot set can be split.

@@ -44,6 +44,15 @@ KEY_COST, PAIR_COST = 20.0, 1.0
 _xxh64 = partial(map, xxhash.xxh64_intdigest)
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """64 bits, of which one is set where over half the hashes have it set; 0 without hashes."""
+    total = np.zeros(BITS, np.int64)
+    for start in range(0, len(hashes), WORDS_AT_ONCE):
+        part = np.ascontiguousarray(hashes[start : start + WORDS_AT_ONCE])
+        total += _column_sums(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str) -> int:
     """64 bits, of which one is set where over half the shingles' hashes have it set; 0 without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
