@@ -35,7 +35,7 @@ from skillstrata.llm.membership import bit_table, may_hold
 FIELD = b"<*>"
 LEADING = 3
 ROUNDS = 3
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20  # of text at once: its tokens are many times as large in memory
 _digit = re.compile(rb"\d")
 _letter = re.compile(rb"[A-Za-z\x80-\xff]")
 # Scripts written without blanks: Thai, Lao, Tibetan, Burmese, Khmer, Japanese, Chinese.
