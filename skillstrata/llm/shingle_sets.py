@@ -11,8 +11,8 @@ order all sets are sorted (prefix filtering). So:
 1. sets are named by 128 bits, and one row stands for all that share a set;
 2. members are sorted by how often a sample of texts holds them, rare ones first, then by hash;
    the sample changes what the search costs, never what it finds;
-3. sets are filed under the members of their prefixes, less those that a count in cells shows to be
-   in one prefix only, and those that meet are candidates where
+3. sets are filed under the members of their prefixes, which are moved once, packed; members in one
+   prefix only are left out where they arrive, and sets that meet are candidates where
    their sizes and the places of the shared member allow the similarity;
 4. candidates are verified on whole sets. Sets that meet are compared with one of them first,
    then with some, then with all, always leaving out those that links already connect: a large
@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from skillstrata.llm import simhash
 from skillstrata.llm.common import forget, pieces, stored, texts_of
 from skillstrata.llm.components import components
-from skillstrata.llm.membership import BITS, bit_table, may_hold
-from skillstrata.llm.substrings import packed_gaps, unpacked_gaps
+from skillstrata.llm.membership import bit_table, may_hold
 
 SEED = 42
 PIECE_BYTES = 4 << 20
 SAMPLE_TEXTS = 20_000  # or a 64th of all, if that is more
 OFTEN = 1 << 20  # members whose number in the sample is kept
-SLICES = 8  # of the cells in which keys are counted
+KEYS_AT_ONCE = 1 << 18  # packed together by a task
+KEYS_OF_SLICE = 1 << 19  # on average, of a range of keys that is held together
 PIVOTS = (16, 1)  # one of so many sets is compared with all it meets, round by round
 
 
@@ -75,6 +75,21 @@ def frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return members[order], n[order]
 
 
+def numbered_as(name: bytes, salt: int) -> int:
+    """A set's number, as ``numbered`` gives it, out of its name alone."""
+    return xxhash.xxh64_intdigest(name + bytes([salt]), SEED)
+
+
+def numbered(distinct: DataFrame) -> tuple[DataFrame, int]:
+    """Sets with ``fp``, a number of 64 bits that no two share, and the salt that makes it so."""
+    for salt in range(256):
+        found = stored(distinct.withColumn("fp", F.xxhash64(F.concat("name", F.lit(bytes([salt]))))), "distinct")
+        if found.groupBy("fp").agg(F.count("*").alias("sets")).where("sets > 1").isEmpty():
+            return found, salt
+        forget(found)
+    raise RuntimeError("no salt gives each set a number of its own")
+
+
 def prefix(members: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
     """The members of a set, rarest first, of which a similar set shares one."""
     known, n = often
@@ -115,60 +130,64 @@ def chosen_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("id", "digest").alias("key"), "text").mapInArrow(thinned, "text string")
 
 
-def shared_slots(texts: DataFrame, width: int, percent: int, often: Broadcast) -> np.ndarray:
-    """A bit table that holds every key which the prefixes of two texts share, and some others.
+def shared_keys(texts: DataFrame, width: int, percent: int, often: Broadcast, salt: int, slices: int) -> DataFrame:
+    """``(fp, n, at, key)``: the members that the prefixes of several sets share, with each set's size and their place in it.
 
-    Keys are counted in 2**26 cells: tasks send the cells they have, a byte or two for each, and slices
-    of the cells are added up. Keys counted once are left out before any of them is moved.
+    Keys move once, packed by ranges of their values, and lone ones end where they arrive: what comes
+    out grows with what is shared, however many keys there are. ``slices`` grows with the keys, so a range stays small.
     """
+    span = np.uint64(((1 << 64) - 1) // slices)
+
+    def packed(found: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(keys) for keys, _, _ in found]
+        keys = np.concatenate([keys for keys, _, _ in found])
+        fps = np.repeat(np.array([fp for _, fp, _ in found], np.uint64), sizes)
+        n = np.repeat(np.array([n for _, _, n in found], np.uint32), sizes)
+        at = np.concatenate([np.arange(size, dtype=np.uint32) for size in sizes])
+        order = np.argsort(keys)
+        keys, fps, n, at = keys[order], fps[order], n[order], at[order]
+        part = np.minimum(keys // span, np.uint64(slices - 1)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            small = (pa.compress(x[a:b].tobytes(), "zstd", asbytes=True) for x in (n, at))
+            rows.append((int(part[a]), int(b - a), keys[a:b].tobytes(), fps[a:b].tobytes(), *small))
+        columns = dict(zip(("slice", "size", "keys", "fps", "n", "at"), map(list, zip(*rows, strict=True)), strict=True))
+        yield pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0, np.uint64)]
+        found, held = [], 0
         for piece in pieces(batches, "text", PIECE_BYTES):
-            found += [prefix(shingle_set(text, width), often.value, percent) for text in texts_of(piece, "text")]
-        cells = np.sort(np.concatenate(found) % np.uint64(BITS))
-        new = np.r_[True, cells[1:] != cells[:-1]] if len(cells) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        cells, twice = cells[at], np.diff(np.r_[at, len(cells)]) > 1
-        for number in range(SLICES):
-            a, b = np.searchsorted(cells, [np.uint64(number * BITS // SLICES), np.uint64((number + 1) * BITS // SLICES)])
-            if a < b:
-                packed = packed_gaps(cells[a:b] - np.uint64(number * BITS // SLICES))
-                yield pa.RecordBatch.from_pydict({"slice": [number], "n": [int(b - a)], "cells": [packed], "twice": [np.packbits(twice[a:b]).tobytes()]})
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        counts = np.zeros(BITS // SLICES, np.uint8)
-        for r in table.to_pylist():
-            at = unpacked_gaps(r["cells"], r["n"])
-            counts[at] = np.minimum(counts[at] + 1 + np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["n"]), 2)
-        bits = np.packbits(counts >= 2, bitorder="little").tobytes()
-        return pa.table({"slice": [key[0].as_py()], "bits": [bits]})
-
-    merged = texts.mapInArrow(run, "slice long, n long, cells binary, twice binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary")
-    table = np.zeros(BITS // 8, np.uint8)
-    for r in merged.collect():
-        size = BITS // SLICES // 8
-        table[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return table.view(np.uint64)
-
-
-def keyed(texts: DataFrame, width: int, percent: int, often: Broadcast, slots: Broadcast) -> DataFrame:
-    """``(name, at, keys)``: the members of each text's prefix that may be shared, and their places in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", PIECE_BYTES):
-            names, places, keys = [], [], []
             for text in texts_of(piece, "text"):
                 members = shingle_set(text, width)
-                first = prefix(members, often.value, percent)
-                at = np.flatnonzero(may_hold(slots.value, (first % np.uint64(BITS)).view(np.int64)))
-                if len(at):
-                    names.append(set_name(members))
-                    places.append(at)
-                    keys.append(first[at].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.binary()), "at": pa.array(places, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))})
-
-    return texts.mapInArrow(run, "name binary, at array<long>, keys array<long>")
+                if len(members):
+                    first = prefix(members, often.value, percent)
+                    found.append((first, numbered_as(set_name(members), salt), len(members)))
+                    held += len(first)
+                if held >= KEYS_AT_ONCE:
+                    yield from packed(found)
+                    found, held = [], 0
+        if found:
+            yield from packed(found)
+
+    def merge(table: pa.Table) -> pa.Table:
+        columns = table.to_pydict()
+        keys, fps = (np.concatenate([np.frombuffer(x, np.uint64) for x in columns[c]]) for c in ("keys", "fps"))
+        n, at = (
+            np.concatenate([np.frombuffer(pa.decompress(x, 4 * size, "zstd", asbytes=True), np.uint32) for x, size in zip(columns[c], columns["size"], strict=True)])
+            for c in ("n", "at")
+        )
+        order = np.lexsort((fps, keys))
+        keys, fps, n, at = keys[order], fps[order], n[order], at[order]
+        # A set may come more than once, by rows that share it.
+        once = np.r_[True, (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])]
+        keys, fps, n, at = keys[once], fps[once], n[once], at[once]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        shared = ~(first & np.r_[first[1:], True])
+        return pa.table({"fp": fps[shared].view(np.int64), "n": n[shared].astype(np.int64), "at": at[shared].astype(np.int64), "key": keys[shared].view(np.int64)})
+
+    parts = texts.mapInArrow(run, "slice long, size long, keys binary, fps binary, n binary, at binary")
+    return parts.groupBy("slice").applyInArrow(merge, "fp long, n long, at long, key long")
 
 
 def sets_of(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
@@ -240,15 +259,12 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return alike.unionByName(met).distinct()
 
 
-def roots_of(rows: DataFrame, distinct: DataFrame, width: int, percent: int, often: Broadcast) -> DataFrame:
+def roots_of(rows: DataFrame, distinct: DataFrame, width: int, percent: int, often: Broadcast, salt: int) -> DataFrame:
     """``(node, root)`` of each set that has a similar one; root names all that are connected."""
-    texts = chosen_texts(rows, distinct)
-    slots = rows.sparkSession.sparkContext.broadcast(shared_slots(texts, width, percent, often))
-    keys = keyed(texts, width, percent, often, slots).join(distinct.select("name", "fp", "n"), "name")
-    keys = stored(keys.select("fp", "n", F.explode(F.arrays_zip("at", "keys")).alias("k")).select("fp", "n", F.col("k.at").alias("at"), F.col("k.keys").alias("key")), "keys")
-    shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("key")
-    members = stored(keys.join(shared, "key").withColumn("group", F.col("fp")), "members")
-    forget(keys)
+    in_prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    total = distinct.agg(F.sum(in_prefix).alias("keys")).head().keys or 0
+    found = shared_keys(chosen_texts(rows, distinct), width, percent, often, salt, total // KEYS_OF_SLICE + 1)
+    members = stored(found.withColumn("group", F.col("fp")), "members")
     near = stored(fingerprint_links(distinct), "near")
     wanted = members.select("fp").unionByName(near.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
     names = stored(distinct.join(wanted, "fp", "left_semi").select("fp", "name", "id", "digest"), "names")
@@ -278,11 +294,11 @@ def labelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     often = df.sparkSession.sparkContext.broadcast(frequent(rows, width))
     docs = stored(named(rows, width), "prints")
-    # One row stands for all that share a set; numbers are shorter than names and fixed once written.
+    # One row stands for all that share a set; numbers are shorter than names and follow from them.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
     distinct = docs.groupBy("name", "n", "bits").agg(first).select("name", "n", "bits", "first.id", "first.digest")
-    distinct = stored(distinct.withColumn("fp", F.monotonically_increasing_id()), "distinct")
-    roots = roots_of(rows, distinct, width, percent, often)
+    distinct, salt = numbered(distinct)
+    roots = roots_of(rows, distinct, width, percent, often, salt)
     # Stored, so that both sides of the last join are dealt out for it and a hot set can be split.
     group = F.coalesce("root", "fp").alias("group")
     labels = stored(distinct.select("name", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("name", "fp", group), "labels")
