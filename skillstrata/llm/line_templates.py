@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillstrata.llm.common import forget, pieces, stored, texts_of, without
+from skillstrata.llm.common import forget, give_back, pieces, stored, texts_of, without
 from skillstrata.llm.membership import bit_table, may_hold
 
 FIELD = b"<*>"
@@ -249,6 +249,7 @@ def _filtered(df: DataFrame, key: Column, table: Broadcast, held: bool) -> DataF
             at = batch.schema.get_field_index("_gone")
             kept = batch.filter(pa.array(may_hold(table.value, batch.column(at).to_numpy()) == held))
             yield kept.drop_columns(["_gone"])
+            give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.withColumn("_gone", key).mapInArrow(run, kinds)
