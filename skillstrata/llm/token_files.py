@@ -16,6 +16,7 @@ number of ids before each; a task that fails or runs twice leaves files that no
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillstrata.llm.bpe import packed
-from skillstrata.llm.common import partitions, pieces, texts_of
+from skillstrata.llm.common import partitions, pieces
 from skillstrata.llm.word_cache import WordCache
 
 SAMPLE = 256
@@ -120,6 +121,7 @@ class EliasFano:
 @lru_cache(maxsize=1)
 def word_cache(tokenizer: str) -> WordCache:
     """One for each worker process: words met in one task are known in the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, on which the library's threads would only wait
     return WordCache(tokenizer)
 
 
@@ -141,7 +143,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str =
         cache = word_cache(tokenizer)
         width = 2 if max(cache.size - 1, end_id) < 1 << 16 else 4
         for piece in pieces(batches, "text", PIECE_BYTES):
-            ids, sizes = cache.encode(texts_of(piece, "text"))
+            ids, sizes = cache.encode(piece.column(1))
             ends = np.cumsum(sizes + 1)
             with_end = np.full(len(ids) + len(sizes), end_id, f"<u{width}")
             inner = np.ones(len(with_end), bool)
